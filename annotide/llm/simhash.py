@@ -362,6 +362,6 @@ def without_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str
     )
     if groups.count() > leaders.count():
         others = [c for c in documents.columns if c not in (key, text)]
-        kept = kept.groupBy(quoted(key), "__content").agg(F.min_by(F.struct(*map(quoted, documents.columns)), F.xxhash64(*map(quoted, others))).alias("row"))
+        kept = kept.groupBy(quoted(key), "__content").agg(F.min_by(F.struct(*map(quoted, documents.columns)), F.xxhash64(F.lit(0), *map(quoted, others))).alias("row"))
         return kept.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
     return kept.select(*map(quoted, documents.columns))
