@@ -20,6 +20,8 @@ from annotide.llm.common import checkpoint, components, quoted
 
 #: Edits that near-duplicate lines may differ by, and characters that a line needs to have near-duplicates.
 EDITS, LEAST_CHARS = 2, 24
+#: Bits of the map that finds the lines of candidate pairs; 16 bytes of broadcast for 64 of them.
+FILTER_BITS = 1 << 22
 
 
 def lines_of(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -28,41 +30,37 @@ def lines_of(documents: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(F.length(F.trim("line")) > 0)
 
 
-def _segment(size: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """Begin (from 0) and length of a segment: lengths differ by one at most, the longer last."""
-    short = F.floor(size / (edits + 1)).cast("int")
-    shorter = edits + 1 - size % (edits + 1)
-    begin = short * number + F.greatest(F.lit(number) - shorter, F.lit(0))
-    return begin, F.when(F.lit(number) < shorter, short).otherwise(short + 1)
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """(segment, characters fewer, shift): where an indexed line's segment can stand in a line that is near it.
 
-
-def entries(lines: DataFrame, edits: int) -> DataFrame:
-    """(entry, id, probes): index entries of each line and the probes it sends.
-
-    probes is the number of characters by which the lines asked for are
-    shorter, and -1 for an index entry.  Entries of the line's own segments
-    serve as its probes for lines of the same length too.
+    Lines probe lines of their own length and of up to ``edits`` characters
+    fewer.  The places are those that the edits before and after the segment
+    allow; the unshifted ones of one length are the index entries themselves.
     """
-    size = F.col("size")
-    made = []
-
-    def entry(length: Column, number: int, begin: Column, width: Column, probes: int) -> Column:
-        piece = F.substring(F.col("line"), begin + 1, width)
-        return F.struct(F.xxhash64(length, F.lit(number), piece).alias("entry"), F.lit(probes).alias("probes"))
-
-    for number in range(edits + 1):
-        begin, width = _segment(size, number, edits)
-        made.append(entry(size, number, begin, width, -1))
+    found = []
     for fewer in range(edits + 1):
         for number in range(edits + 1):
-            begin, width = _segment(size - fewer, number, edits)
             low = max(-number, fewer - (edits - number))
             high = min(number, fewer + (edits - number))
-            for shift in range(low, high + 1):
-                if fewer or shift:  # the rest are the index entries
-                    made.append(entry(size - fewer, number, begin + shift, width, fewer))
-    rows = lines.select("id", F.explode(F.array(*made)).alias("e"))
-    return rows.select(F.col("e.entry").alias("entry"), "id", F.col("e.probes").alias("probes"))
+            found += [(number, fewer, shift) for shift in range(low, high + 1) if fewer or shift]
+    return found
+
+
+def entries(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """(entry, id): a hash of (length, segment, substring) for each of ``places`` in each line.
+
+    Segments' lengths differ by one at most, the longer ones last.  Lines are
+    cut as four bytes a character, where a place needs no search.
+    """
+    shapes = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(f).alias("f"), F.lit(s).alias("s")) for n, f, s in places])
+    rows = lines.withColumn("chars", F.encode("line", "UTF-32")).select("id", "size", "chars", F.explode(shapes).alias("at"))
+    length = F.col("size") - F.col("at.f")
+    short = (length / (edits + 1)).cast("int")
+    shorter = edits + 1 - length % (edits + 1)
+    begin = short * F.col("at.n") + F.greatest(F.col("at.n") - shorter, F.lit(0)) + F.col("at.s")
+    width = F.when(F.col("at.n") < shorter, short).otherwise(short + 1)
+    piece = F.substring("chars", begin * 4 + 1, width * 4)
+    return rows.select(F.xxhash64(length, F.col("at.n"), piece).alias("entry"), "id")
 
 
 def trimmed(a: Column, b: Column) -> Column:
@@ -162,18 +160,32 @@ def alike(pairs: DataFrame, left: str, right: str, edits: int) -> DataFrame:
     return state.where(within(F.col("__kept.state"), F.col("__kept.m"), F.col("__kept.n"), edits)).select(*others)
 
 
+def _held(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``lines(id, ..)`` whose id may be in ``ids(id)``: all that are, and few others.
+
+    A bit map of FILTER_BITS bits, 64 in a row, is broadcast; it has that size at most.
+    """
+    slot = F.pmod(F.xxhash64("id", F.lit("slot")), F.lit(FILTER_BITS))
+    bits = ids.select((slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id, 'slot'), {FILTER_BITS}) % 64 as int))").alias("bit"))
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    rows = lines.withColumns({"__slot": slot, "word": (slot / 64).cast("int")}).join(F.broadcast(words), "word")
+    return rows.where("shiftrightunsigned(bits, cast(__slot % 64 as int)) & 1 = 1").select(*lines.columns)
+
+
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b): ids of the different lines in ``lines(line)`` within ``edits`` edits, each pair once."""
-    known = lines.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size"))
-    rows = entries(known, edits)
-    own = rows.where("probes = -1")
-    # a probe asks the index, and lines of one length ask each other by their own entries, once a pair
-    asked = rows.where("probes >= 0").select("entry", F.col("id").alias("other"), F.lit(True).alias("both_ways"))
-    equal = own.select("entry", F.col("id").alias("other"), F.lit(False).alias("both_ways"))
-    met = own.select("entry", "id").join(asked.union(equal), "entry").where("id < other or both_ways and id > other")
-    pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    pairs = checkpoint(pairs.distinct())
-    texts = lines.select(F.xxhash64("line").alias("id"), "line")
+    """(a, b): ids of the different lines in ``lines(line)`` within ``edits`` edits, each pair once.
+
+    An id is the line's 64-bit hash.  Each different line has its entries and
+    probes made once; texts come back only for lines of pairs that met.
+    """
+    known = lines.select("line").distinct().select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size"))
+    own = entries(known, [(n, 0, 0) for n in range(edits + 1)], edits)
+    asked = entries(known, probes(edits), edits).select("entry", F.col("id").alias("other"))
+    alike_length = own.select("entry", F.col("id").alias("other"))
+    met = own.join(asked, "entry").where("id <> other").union(own.join(alike_length, "entry").where("id < other"))
+    pairs = checkpoint(met.select("entry", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).select("a", "b").distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    texts = _held(lines.select(F.xxhash64("line").alias("id"), "line"), ids).distinct()
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("line").alias("right")), "b"
     )
@@ -193,7 +205,7 @@ def line_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", ed
     """
     rows = documents.select(quoted(key).alias("__doc"), quoted(text).alias("__text"))
     found = lines_of(rows, "__doc", "__text")
-    near = near_lines(found.where(F.length("line") >= least_chars).select("line").distinct(), edits)
+    near = near_lines(found.where(F.length("line") >= least_chars).select("line"), edits)
     links = checkpoint(near)
     classes = components(links)
     degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
