@@ -20,6 +20,8 @@ from annotide.llm.common import checkpoint, components, quoted
 
 #: Edits that near-duplicate lines may differ by, and characters that a line needs to have near-duplicates.
 EDITS, LEAST_CHARS = 2, 24
+# Characters counted in 16 classes, by place in this string; common letters fall in different ones.
+COUNTED = "etaonirshldcumfpgwybvkxjqzéèêàçùâîôûëïüöäßñíóúá0123456789.,ETAONIRSHLDCUMFPGWYBVKXJQZ"
 #: Bits of the map that finds the lines of candidate pairs; 16 bytes of broadcast for 64 of them.
 FILTER_BITS = 1 << 22
 
@@ -46,21 +48,45 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return found
 
 
+def counts(line: Column) -> Column:
+    """How often each class of characters stands in a line, modulo 16: 16 numbers of 4 bits."""
+    marks = "0123456789abcdef"
+    marked = F.translate(line, COUNTED, "".join(marks[k % 16] for k in range(len(COUNTED))))
+
+    def packed(t: Column) -> Column:
+        own = [F.shiftleft((F.octet_length(t) - F.octet_length(F.replace(t, F.lit(m), F.lit("")))).cast("long").bitwiseAND(F.lit(15)), 4 * k) for k, m in enumerate(marks)]
+        total = own[0]
+        for part in own[1:]:
+            total = total.bitwiseOR(part)
+        return total
+
+    return packed(marked)
+
+
+def may_be_near(a: Column, b: Column, edits: int) -> Column:
+    """False only for counts that ``edits`` edits can't bring together: an edit changes two by one at most."""
+    total: Column = F.lit(0)
+    for k in range(16):
+        gap = (F.shiftrightunsigned(a, 4 * k) - F.shiftrightunsigned(b, 4 * k)).bitwiseAND(F.lit(15))
+        total = total + F.least(gap, 16 - gap)
+    return total <= 2 * edits
+
+
 def entries(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """(entry, id): a hash of (length, segment, substring) for each of ``places`` in each line.
+    """(entry, id, counts): a hash of (length, segment, substring) for each of ``places`` in each line.
 
     Segments' lengths differ by one at most, the longer ones last.  Lines are
     cut as four bytes a character, where a place needs no search.
     """
     shapes = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(f).alias("f"), F.lit(s).alias("s")) for n, f, s in places])
-    rows = lines.withColumn("chars", F.encode("line", "UTF-32")).select("id", "size", "chars", F.explode(shapes).alias("at"))
+    rows = lines.withColumn("chars", F.encode("line", "UTF-32")).select("id", "counts", "size", "chars", F.explode(shapes).alias("at"))
     length = F.col("size") - F.col("at.f")
     short = (length / (edits + 1)).cast("int")
     shorter = edits + 1 - length % (edits + 1)
     begin = short * F.col("at.n") + F.greatest(F.col("at.n") - shorter, F.lit(0)) + F.col("at.s")
     width = F.when(F.col("at.n") < shorter, short).otherwise(short + 1)
     piece = F.substring("chars", begin * 4 + 1, width * 4)
-    return rows.select(F.xxhash64(length, F.col("at.n"), piece).alias("entry"), "id")
+    return rows.select(F.xxhash64(length, F.col("at.n"), piece).alias("entry"), "id", "counts")
 
 
 def trimmed(a: Column, b: Column) -> Column:
@@ -145,7 +171,12 @@ def within(state: Column, m: Column, n: Column, edits: int) -> Column:
 
 
 def alike(pairs: DataFrame, left: str, right: str, edits: int) -> DataFrame:
-    """The rows of ``pairs`` whose two strings are within ``edits`` edits, without those strings."""
+    """The rows of ``pairs`` whose two strings are within ``edits`` edits, without those strings.
+
+    The built-in distance with a limit passes on the few pairs worth walking
+    character by character.
+    """
+    pairs = pairs.where(F.levenshtein(quoted(left), quoted(right), edits) >= 0)
     others = [quoted(c) for c in pairs.columns if c not in (left, right)]
     clean = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     core = trimmed(quoted(left), quoted(right))
@@ -178,12 +209,15 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     An id is the line's 64-bit hash.  Each different line has its entries and
     probes made once; texts come back only for lines of pairs that met.
     """
-    known = lines.select("line").distinct().select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size"))
+    marked = lines.select("line").distinct().select("line", counts(F.col("line")).alias("counts"))
+    known = marked.select(F.xxhash64("line").alias("id"), "line", "counts", F.length("line").alias("size"))
     own = entries(known, [(n, 0, 0) for n in range(edits + 1)], edits)
-    asked = entries(known, probes(edits), edits).select("entry", F.col("id").alias("other"))
-    alike_length = own.select("entry", F.col("id").alias("other"))
-    met = own.join(asked, "entry").where("id <> other").union(own.join(alike_length, "entry").where("id < other"))
-    pairs = checkpoint(met.select("entry", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).select("a", "b").distinct())
+    asked = entries(known, probes(edits), edits).select("entry", F.col("id").alias("other"), F.col("counts").alias("other_counts"))
+    alike_length = own.select("entry", F.col("id").alias("other"), F.col("counts").alias("other_counts"))
+    near = may_be_near(F.col("counts"), F.col("other_counts"), edits)
+    met = own.join(asked, "entry").where((F.col("id") != F.col("other")) & near)
+    met = met.union(own.join(alike_length, "entry").where((F.col("id") < F.col("other")) & near))
+    pairs = checkpoint(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     texts = _held(lines.select(F.xxhash64("line").alias("id"), "line"), ids).distinct()
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").join(
