@@ -13,7 +13,7 @@ and an index entry holds hashes, never text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annotide.llm.common import checkpoint, components, quoted
@@ -22,6 +22,8 @@ from annotide.llm.common import checkpoint, components, quoted
 EDITS, LEAST_CHARS = 2, 24
 # Characters counted in 16 classes, by place in this string; common letters fall in different ones.
 COUNTED = "etaonirshldcumfpgwybvkxjqzéèêàçùâîôûëïüöäßñíóúá0123456789.,ETAONIRSHLDCUMFPGWYBVKXJQZ"
+#: Lines with one entry beyond which pairs are made by their counts of characters.
+CROWD = 32
 #: Bits of the map that finds the lines of candidate pairs; 16 bytes of broadcast for 64 of them.
 FILTER_BITS = 1 << 22
 
@@ -48,6 +50,11 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return found
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def counts(line: Column) -> Column:
     """How often each class of characters stands in a line, modulo 16: 16 numbers of 4 bits."""
     marks = "0123456789abcdef"
@@ -60,33 +67,33 @@ def counts(line: Column) -> Column:
             total = total.bitwiseOR(part)
         return total
 
-    return packed(marked)
+    return _bound(marked, packed)
 
 
 def may_be_near(a: Column, b: Column, edits: int) -> Column:
     """False only for counts that ``edits`` edits can't bring together: an edit changes two by one at most."""
     total: Column = F.lit(0)
     for k in range(16):
-        gap = (F.shiftrightunsigned(a, 4 * k) - F.shiftrightunsigned(b, 4 * k)).bitwiseAND(F.lit(15))
+        gap = F.abs(F.shiftrightunsigned(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(F.lit(15)))
         total = total + F.least(gap, 16 - gap)
     return total <= 2 * edits
 
 
 def entries(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """(entry, id, counts): a hash of (length, segment, substring) for each of ``places`` in each line.
+    """(entry, id): a hash of (length, segment, substring) for each of ``places`` in each line.
 
     Segments' lengths differ by one at most, the longer ones last.  Lines are
     cut as four bytes a character, where a place needs no search.
     """
     shapes = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(f).alias("f"), F.lit(s).alias("s")) for n, f, s in places])
-    rows = lines.withColumn("chars", F.encode("line", "UTF-32")).select("id", "counts", "size", "chars", F.explode(shapes).alias("at"))
+    rows = lines.withColumn("chars", F.encode("line", "UTF-32")).select("id", "size", "chars", F.explode(shapes).alias("at"))
     length = F.col("size") - F.col("at.f")
     short = (length / (edits + 1)).cast("int")
     shorter = edits + 1 - length % (edits + 1)
     begin = short * F.col("at.n") + F.greatest(F.col("at.n") - shorter, F.lit(0)) + F.col("at.s")
     width = F.when(F.col("at.n") < shorter, short).otherwise(short + 1)
     piece = F.substring("chars", begin * 4 + 1, width * 4)
-    return rows.select(F.xxhash64(length, F.col("at.n"), piece).alias("entry"), "id", "counts")
+    return rows.select(F.xxhash64(length, F.col("at.n"), piece).alias("entry"), "id")
 
 
 def trimmed(a: Column, b: Column) -> Column:
@@ -106,11 +113,6 @@ def trimmed(a: Column, b: Column) -> Column:
     return F.aggregate(steps, F.aggregate(steps, start, front), back)
 
 
-def _bound(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def banded(a: Column, b: Column, edits: int) -> Column:
     """The last band of the edit matrix of two arrays of characters: plus, minus, score.
 
@@ -207,17 +209,31 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): ids of the different lines in ``lines(line)`` within ``edits`` edits, each pair once.
 
     An id is the line's 64-bit hash.  Each different line has its entries and
-    probes made once; texts come back only for lines of pairs that met.
+    probes made once; texts come back only for lines of pairs that met.  The
+    lines of an entry that more than CROWD lines have make a pair only if
+    their counts of characters allow it.
     """
-    marked = lines.select("line").distinct().select("line", counts(F.col("line")).alias("counts"))
-    known = marked.select(F.xxhash64("line").alias("id"), "line", "counts", F.length("line").alias("size"))
+    known = lines.select("line").distinct().select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size"))
     own = entries(known, [(n, 0, 0) for n in range(edits + 1)], edits)
-    asked = entries(known, probes(edits), edits).select("entry", F.col("id").alias("other"), F.col("counts").alias("other_counts"))
-    alike_length = own.select("entry", F.col("id").alias("other"), F.col("counts").alias("other_counts"))
+    crowd = F.count("*").over(Window.partitionBy("entry"))
+    held = own.withColumn("crowd", crowd)
+    asked = entries(known, probes(edits), edits).select("entry", F.col("id").alias("other"))
+    few = held.where(F.col("crowd") <= CROWD).select("entry", "id")
+    pairs = few.join(asked, "entry").where("id <> other").union(few.join(few.select("entry", F.col("id").alias("other")), "entry").where("id < other"))
+    pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+
+    many = checkpoint(held.where(F.col("crowd") > CROWD).select("entry", "id"))
+    asking = checkpoint(asked.join(many.select("entry").distinct(), "entry", "left_semi"))
+    involved = many.select("id").union(asking.select("other")).distinct()
+    marked = _held(lines.select(F.xxhash64("line").alias("id"), "line"), involved).distinct().select("id", counts(F.col("line")).alias("counts"))
+    marked = checkpoint(marked)
+    crowded = many.join(marked, "id")
+    others = marked.select(F.col("id").alias("other"), F.col("counts").alias("other_counts"))
+    asking = asking.join(others, "other").withColumn("ordered", F.lit(False))
+    equal = crowded.select("entry", F.col("id").alias("other"), F.col("counts").alias("other_counts"), F.lit(True).alias("ordered"))
     near = may_be_near(F.col("counts"), F.col("other_counts"), edits)
-    met = own.join(asked, "entry").where((F.col("id") != F.col("other")) & near)
-    met = met.union(own.join(alike_length, "entry").where((F.col("id") < F.col("other")) & near))
-    pairs = checkpoint(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    met = crowded.join(asking.unionByName(equal), "entry").where(near & F.expr("id < other or (not ordered and id > other)"))
+    pairs = checkpoint(pairs.union(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))).distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     texts = _held(lines.select(F.xxhash64("line").alias("id"), "line"), ids).distinct()
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").join(
