@@ -122,8 +122,9 @@ def entries(nodes: DataFrame, words: Sequence[str], segments: int, width: int, p
 class Finder:
     """Compares the fingerprints that share an entry; rows arrive sorted by entry."""
 
-    def __init__(self, words: int, width: int, per_word: int, distance: int):
+    def __init__(self, words: int, width: int, per_word: int, distance: int, short_run: int = SHORT_RUN):
         self.words, self.width, self.per_word, self.distance = words, width, per_word, distance
+        self.short_run = short_run
 
     def apart(self, variant: np.ndarray, gap: np.ndarray) -> np.ndarray:
         """Which differences (rows of ``gap``) count as links in their entries."""
@@ -142,14 +143,14 @@ class Finder:
         sizes = np.diff(edges)
         variant = entry >> self.width
         longest = int(sizes.max())
-        short = np.repeat(sizes <= SHORT_RUN, sizes)
-        for offset in range(1, min(longest, SHORT_RUN)):
+        short = np.repeat(sizes <= self.short_run, sizes)
+        for offset in range(1, min(longest, self.short_run)):
             at = np.flatnonzero((entry[offset:] == entry[:-offset]) & short[offset:])
             if not len(at):
                 break
             at = at[self.apart(variant[at], prints[at] ^ prints[at + offset])]
             out.append(np.concatenate([prints[at], prints[at + offset]], 1))
-        for k in np.flatnonzero(sizes > SHORT_RUN).tolist():
+        for k in np.flatnonzero(sizes > self.short_run).tolist():
             out.append(self.forest(int(variant[edges[k]]), prints[edges[k] : edges[k + 1]]))
         return out
 
@@ -157,6 +158,8 @@ class Finder:
         """A spanning forest of the links of one long run."""
         if len(prints) > MIDDLE_RUN and self.words == 1 and self.distance <= 2:
             return self.wiped_forest(variant, prints)
+        if len(prints) <= 256:
+            return self.nearest_forest(variant, prints)
         root = np.arange(len(prints))
         found = []
         steps = sorted({min(self.distance, d) for d in (2, 5, 10, 16, self.distance)})
@@ -175,6 +178,28 @@ class Finder:
         at = np.array(found, np.int64).reshape(-1, 2)
         return np.concatenate([prints[at[:, 0]], prints[at[:, 1]]], 1)
 
+    def nearest_forest(self, variant: int, prints: np.ndarray) -> np.ndarray:
+        """The spanning forest of smallest distances, by taking the links in rising order."""
+        i, j = np.triu_indices(len(prints), 1)
+        gap = prints[i] ^ prints[j]
+        linked = np.flatnonzero(self.apart(np.full(len(i), variant), gap))
+        order = linked[np.argsort(np.bitwise_count(gap[linked]).sum(1, dtype=np.int64), kind="stable")]
+        root = list(range(len(prints)))
+        found = []
+        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            x, y = a, b
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            while root[y] != y:
+                root[y] = y = root[root[y]]
+            if x != y:
+                root[y] = x
+                found.append((a, b))
+                if len(found) == len(prints) - 1:
+                    break
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return np.concatenate([prints[at[:, 0]], prints[at[:, 1]]], 1)
+
     def wiped_forest(self, variant: int, prints: np.ndarray) -> np.ndarray:
         """The same for one word and a distance of 2, by wiping bits outside the segment too.
 
@@ -209,9 +234,11 @@ class Finder:
         return np.concatenate([prints[at[:, 0]], prints[at[:, 1]]], 1)
 
 
-def fingerprint_links(nodes: DataFrame, words: Sequence[str], segments: int, width: int, per_word: int, distance: int) -> DataFrame:
+def fingerprint_links(
+    nodes: DataFrame, words: Sequence[str], segments: int, width: int, per_word: int, distance: int, short_run: int = SHORT_RUN
+) -> DataFrame:
     """Links between the distinct fingerprints in ``nodes``: columns a0.. and b0.., each link's smaller print first."""
-    finder = Finder(len(words), width, per_word, distance)
+    finder = Finder(len(words), width, per_word, distance, short_run)
     names = [f"{side}{k}" for side in "ab" for k in range(len(words))]
     schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
 
@@ -289,7 +316,9 @@ def simhash_groups(
 #: bits different and meets in some segment in 95 of 100 cases, closer pairs
 #: more often.  Verification: a 512-bit fingerprint of the set of five-word
 #: shingles; at a similarity of 0.8 78 bits differ on average, with a
-#: deviation of 8, and VERIFIED_BITS lets all but a few such pairs pass.
+#: deviation of 8, and VERIFIED_BITS lets all but a few such pairs pass.  Runs
+#: of more than two report the spanning forest of smallest distances: two
+#: texts at some distance stay joined by links that are no wider.
 CANDIDATE_SEGMENTS, CANDIDATE_WIDTH, CANDIDATE_BITS = 6, 21, 24
 VERIFY_WORDS, VERIFIED_BITS = 8, 90
 
@@ -317,7 +346,7 @@ def content_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
     node = F.xxhash64(*prints, *checks).alias("node")
     nodes = checkpoint(signed.groupBy(*prints, *checks).agg(F.min(order).alias("first")).select("*", node))
     met = fingerprint_links(
-        nodes.select(*prints).distinct(), prints, CANDIDATE_SEGMENTS, CANDIDATE_WIDTH, 3, CANDIDATE_BITS
+        nodes.select(*prints).distinct(), prints, CANDIDATE_SEGMENTS, CANDIDATE_WIDTH, 3, CANDIDATE_BITS, 2
     )
 
     def side(name: str) -> DataFrame:

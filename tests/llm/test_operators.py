@@ -184,7 +184,9 @@ def plain_line_dedup(rows, edits, least):
     return {d: (a, b, c, ",".join(x)) for d, (a, b, c, x) in out.items()}
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("crowd", [32, 1])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
     draw = random.Random(3)
     base = ["".join(draw.choice("abcdefgh ") for _ in range(30)) for _ in range(12)]
     rows = []
@@ -547,8 +549,7 @@ def test_links_keep_every_component(spark, monkeypatch, limits):
         for _ in range(40):
             prints.add(base ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 3))))
     prints = sorted(prints)
-    own = simhash.Finder(1, 32, 2, 2)
-    monkeypatch.setattr(simhash, "SHORT_RUN", limits[0])
+    own = simhash.Finder(1, 32, 2, 2, limits[0])
     monkeypatch.setattr(simhash, "MIDDLE_RUN", limits[1])
     table = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "print long")
     rows = simhash.entries(table, ["print"], 2, 32, 2).orderBy("entry").collect()
