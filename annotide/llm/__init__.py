@@ -3,10 +3,3 @@
 Nothing outside this subpackage imports it.  Each module holds one operator
 with a general interface; ``queries`` binds them to the driver's tables.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions sent to executors carry this code with them: nothing has to be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -46,10 +46,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int =
     rows = sizes.withColumn("__weight", weight)
     order = Window.orderBy(F.col("source_size") / F.col("__weight"), "__source")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     whole = Window.partitionBy()
+    onward = F.sum("__weight").over(whole) - F.coalesce(F.sum("__weight").over(before), F.lit(0))
     left = F.sum("source_size").over(whole) - copies * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    rows = rows.withColumn("__share", left.cast("double") / F.sum("__weight").over(onward))
+    rows = rows.withColumn("__share", left.cast("double") / onward)
     share = F.greatest(F.max("__share").over(whole), F.lit(0.0))
     return rows.withColumn(
         "target", F.least((copies * F.col("source_size")).cast("double"), share * F.col("__weight"))

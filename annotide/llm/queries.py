@@ -192,4 +192,93 @@ from lines l join named n on n.line = l.line join leads x on x.component = n.com
 group by l.doc
 """
 
-ORACLES: dict[str, str] = {}
+
+_MIX = r"""
+with d as (
+  select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, case when source is null then '1' else '0' || source end as s,
+         md5('mix-1:' || coalesce(doc_id::varchar, '~')) as draw
+  from documents
+), src as (
+  select s, sum(size)::bigint as source_size from d group by s
+), w as (
+  select *, case (row_number() over (order by s) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w from src
+), shares as (
+  select *, (sum(source_size) over () - 3 * coalesce(sum(source_size) over before, 0))::double / (sum(w) over () - coalesce(sum(w) over before, 0))::double as share
+  from w window before as (order by source_size::double / w, s rows between unbounded preceding and 1 preceding)
+), t as (
+  select s, source_size, least(3::double * source_size, greatest(max(share) over (), 0) * w) as target from shares
+), q0 as (
+  select *, ceil(source_size / 32::double)::bigint as blocks, round(sum(source_size) over ()::double / 32)::bigint as seats, sum(target) over () as total, count(*) over () as n from t
+), q1 as (
+  select *, case when seats > n and total > 0 then floor(target / (total / (seats - n)) + 0.5::double) else 0 end::bigint as low,
+         case when total > 0 then floor(target / (total / (seats + n)) + 0.5::double) else 0 end::bigint as high
+  from q0
+), q2 as (
+  select *, seats - sum(low) over () as open from q1
+), candidates as (
+  select s, target, open, unnest(range(low + 1, high + 1)) as k from q2
+), won as (
+  select s, count(*) as won from (select s, open, row_number() over (order by target / (2 * k - 1) desc, s, k) as r from candidates) x where r <= open group by s
+), plan as (
+  select q2.s, source_size, target, blocks, least(low + coalesce(won, 0), 3 * blocks)::bigint as quota,
+         case when blocks > 0 then ('0x' || substr(md5('mix-1:start:' || q2.s), 1, 8))::bigint % blocks else 0 end as start
+  from q2 left join won on won.s = q2.s
+), placed as (
+  select *, sum(size) over (partition by s order by draw, size rows unbounded preceding) as e from d
+), cut as (
+  select doc_id, size, p.source_size, target, e, e - size as b, case when blocks > 0 then quota // blocks else 0 end as passes,
+         case when blocks > 0 then quota % blocks else 0 end as rest, start, blocks
+  from placed join plan p on p.s = placed.s
+)
+select doc_id, size, source_size, target, (passes * size + greatest(least(e, (start + rest) * 32, source_size) - greatest(b, start * 32), 0)
+       + greatest(least(e, greatest((start + rest - blocks) * 32, 0)) - b, 0))::bigint as taken
+from cut
+"""
+
+_URLS = r"""
+with c as (
+  select page_id, date '2024-01-01' + ((page_id * 37) % 366)::int as day,
+         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', '') as host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^/?#]+)', 1) as segment
+  from pages
+), parts as (
+  select *, string_split(host, '.') as labels from c
+), lengths as (
+  select *, unnest(range(2, len(labels) + 1)) as n from parts
+), plain as (
+  select page_id, day, host, segment, array_to_string(labels[len(labels) - n + 1:], '.') as key, (n - 2) * 2 as rank from lengths
+), keys as (
+  select page_id, day, key, rank from plain union all select page_id, day, key || segment, rank + 1 from plain where segment <> ''
+), drawn as (
+  select key, ('0x' || substr(md5(key), 1, 6))::bigint as draw from (select distinct key from keys) x
+), events as (
+  select key, date '2024-01-01' + (draw % 200)::int as day, 'block' as action from drawn where draw % 3 <> 0
+  union all select key, date '2024-01-01' + (draw % 200 + 30 + draw % 97)::int, 'off' from drawn where draw % 3 <> 0
+  union all select key, date '2024-01-01' + (draw % 200 + 150)::int, 'review' from drawn where draw % 3 <> 0 and draw % 2 = 0
+), daily as (
+  select key, day, max(action) as action from events group by key, day
+), spans as (
+  select key, action, day as valid_from, lead(day) over (partition by key order by day) as valid_to from daily
+), active as (
+  select k.page_id, k.rank, s.* from keys k join spans s on s.key = k.key and s.action <> 'off' and s.valid_from <= k.day and (s.valid_to is null or k.day < s.valid_to)
+), best as (
+  select *, count(*) over (partition by page_id) as n, row_number() over (partition by page_id order by rank desc, valid_from desc, key) as r from active
+)
+select c.page_id, c.host, c.day::date::varchar as fetched_on, coalesce(b.n, 0) as n_active, coalesce(b.action, 'none') as verdict, b.key as matched_key, b.valid_from::date::varchar as active_since
+from c left join best b on b.page_id = c.page_id and b.r = 1
+"""
+
+#: Letters outside ASCII in the tables, each put as one control character so that bytes are characters.
+_LETTERS = "éèêàçùâîôûëïüöäßñíóúáÉÈÊÀÇÙÂÎÔÛËÏÜÖÄÑÍÓÚÁ"
+
+
+def _single_bytes(column: str) -> str:
+    marks = [c for c in range(1, 128) if not (chr(c).isalnum() or chr(c) in " .,!?#&*%|-+()@:/=\"'_\t\n\r")][: len(_LETTERS)]
+    return f"translate({column}, '{_LETTERS[: len(marks)]}', {' || '.join(f'chr({c})' for c in marks)})"
+
+
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": _LINES.format(code_a=_single_bytes("a"), code_b=_single_bytes("b")),
+    "op6_mix_sources": _MIX,
+    "op8_url_filter": _URLS,
+}
