@@ -51,15 +51,19 @@ def box_edges(low: tuple[Column, Column, Column], high: tuple[Column, Column, Co
     """Points on the twelve edges of a 3-D box, an array of structs."""
     share = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: k / max(1, points - 1))
     names = ("x", "y", "z")
+
+    def along(axis: int, fixed: dict):
+        def point(s: Column) -> Column:
+            place = [low[a] + s * (high[a] - low[a]) if a == axis else fixed[a][a] for a in range(3)]
+            return F.struct(*[c.cast("double").alias(n) for c, n in zip(place, names, strict=True)])
+
+        return point
+
     edges = []
     for axis in range(3):
         others = [a for a in range(3) if a != axis]
         for corner in range(4):
             fixed = {others[0]: (low, high)[corner % 2], others[1]: (low, high)[corner // 2]}
 
-            def point(s: Column, axis=axis, fixed=fixed) -> Column:
-                place = [low[a] + s * (high[a] - low[a]) if a == axis else fixed[a][a] for a in range(3)]
-                return F.struct(*[c.cast("double").alias(n) for c, n in zip(place, names, strict=True)])
-
-            edges.append(F.transform(share, point))
+            edges.append(F.transform(share, along(axis, fixed)))
     return F.flatten(F.array(*edges))

@@ -13,9 +13,13 @@ from annotide.operators import labels
 
 
 def files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = False) -> DataFrame:
-    """(path, name, stem, length, modified): a listing; contents aren't read."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(path)
-    return rows.select("path", text.basename(F.col("path")).alias("name"), text.stem(F.col("path")).alias("stem"), "length", F.col("modificationTime").alias("modified"))
+    """(path, name, stem, length, modified): a listing with empty files, of length 0; contents aren't read."""
+    options = {"pathGlobFilter": glob, "recursiveFileLookup": recursive}
+    one_slash = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    names = spark.createDataFrame([(p,) for p in spark.read.options(**options).text(path, wholetext=True).inputFiles()], "path string")
+    known = spark.read.format("binaryFile").options(**options).load(path).select(one_slash(F.col("path")).alias("path"), "length", F.col("modificationTime").alias("modified"))
+    rows = names.select(one_slash(F.col("path")).alias("path")).join(known, "path", "left")
+    return rows.select("path", text.basename(F.col("path")).alias("name"), text.stem(F.col("path")).alias("stem"), F.coalesce("length", F.lit(0)).alias("length"), "modified")
 
 
 def lines(spark: SparkSession, path: str, glob: str = "*.txt", recursive: bool = False) -> DataFrame:
