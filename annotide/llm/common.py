@@ -80,29 +80,30 @@ def append_columns(
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: one row (node, component) per linked node.
 
-    ``component`` is the smallest node reachable.  Labels spread to neighbours
-    and then jump along their own labels, so the number of rounds follows the
-    logarithm of a component's width; every round is checkpointed.
+    ``component`` is the smallest node reachable.  In each round every node
+    goes to its smallest neighbour's smallest neighbour and the links shrink
+    to those between such nodes, so a dense group is gone after one round and
+    a chain after about the logarithm of its length.  Every round is
+    checkpointed; only its number of links left reaches the driver.
     """
-    edges = checkpoint(
-        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    )
-    labels = checkpoint(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
+    both = lambda df: df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = checkpoint(both(links).where("a <> b").distinct())
+    found = None
     while True:
-        near = (
-            edges.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("low"))
+        near = edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("low"))
+        ahead = near.select(F.col("node").alias("low"), F.col("low").alias("label"))
+        moved = checkpoint(near.join(ahead, "low").select("node", "label"))  # a smallest neighbour is a node too
+        edges = edges.join(moved.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(
+            moved.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b"
         )
-        spread = labels.join(near, "node", "left").select("node", "label", F.least("label", "low").alias("low"))
-        ahead = labels.select(F.col("node").alias("low"), F.col("label").alias("further"))
-        moved = spread.join(ahead, "low", "left").select(
-            "node", F.least("low", F.coalesce("further", "low")).alias("label"), (F.least("low", F.coalesce("further", "low")) < F.col("label")).alias("moved")
-        )
-        labels = checkpoint(moved)
-        if not labels.agg(F.max("moved")).first()[0]:
-            return labels.select("node", F.col("label").alias("component"))
-        labels = labels.select("node", "label")
+        edges = checkpoint(edges.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        if found is None:
+            found = moved
+        else:
+            later = moved.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            found = checkpoint(found.join(later, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
+        if edges.isEmpty():
+            return found.select("node", F.col("label").alias("component"))
 
 
 def rows_about(df: DataFrame, key: Column, wanted: int, rows: int) -> DataFrame:

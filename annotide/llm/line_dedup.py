@@ -185,12 +185,12 @@ def alike(pairs: DataFrame, left: str, right: str, edits: int) -> DataFrame:
 
     def compared(chars: Column) -> Column:
         x, y = chars["x"], chars["y"]
-        return F.struct(F.size(x).alias("m"), F.size(y).alias("n"), banded(x, y, edits).alias("state"))
+        state = F.struct(F.size(x).alias("m"), F.size(y).alias("n"), banded(x, y, edits).alias("state"))
+        return _bound(state, lambda k: within(k["state"], k["m"], k["n"], edits))
 
-    # bound as one value: the optimiser may not move these into the loop over characters
-    kept = _bound(core, lambda c: _bound(F.struct(clean(c["a"]).alias("x"), clean(c["b"]).alias("y")), compared))
-    state = pairs.select(*others, kept.alias("__kept"))
-    return state.where(within(F.col("__kept.state"), F.col("__kept.m"), F.col("__kept.n"), edits)).select(*others)
+    # each value bound and the answer in one expression: the optimiser can neither repeat them nor move them into a loop
+    near = _bound(core, lambda c: _bound(F.struct(clean(c["a"]).alias("x"), clean(c["b"]).alias("y")), compared))
+    return pairs.where(near).select(*others)
 
 
 def _held(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     near = may_be_near(F.col("counts"), F.col("other_counts"), edits)
     met = crowded.join(asking.unionByName(equal), "entry").where(near & F.expr("id < other or (not ordered and id > other)"))
     pairs = checkpoint(pairs.union(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     texts = _held(lines.select(F.xxhash64("line").alias("id"), "line"), ids).distinct()
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("line").alias("right")), "b"
@@ -258,9 +258,9 @@ def line_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", ed
     near = near_lines(found.where(F.length("line") >= least_chars).select("line"), edits)
     links = checkpoint(near)
     classes = components(links)
-    degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    degrees = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("links"))
     classes = classes.join(degrees, F.col("node") == F.col("id")).select("id", "component", "links")
-    placed = found.select("doc", "line_no", F.xxhash64("line").alias("id"))
+    placed = checkpoint(found.select("doc", "line_no", F.xxhash64("line").alias("id")))
     firsts = placed.groupBy("id").agg(F.min(F.struct(F.col("doc").isNull().alias("missing"), "doc", "line_no")).alias("first"))
     firsts = firsts.join(classes, "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     leads = firsts.groupBy("component").agg(F.min("first").alias("lead"))
