@@ -77,33 +77,48 @@ def append_columns(
     return rows.mapInArrow(run, schema)
 
 
+def scrambled(node: Column) -> Column:
+    """Another 64-bit number for each one (xorshift, one to one), so that the order of ids tells nothing."""
+    for left, right, last in ((13, 7, 17), (11, 5, 32)):
+        node = node.bitwiseXOR(F.shiftleft(node, left))
+        node = node.bitwiseXOR(F.shiftrightunsigned(node, right))
+        node = node.bitwiseXOR(F.shiftleft(node, last))
+    return node
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: one row (node, component) per linked node.
 
     ``component`` is the smallest node reachable.  In each round every node
-    goes to its smallest neighbour's smallest neighbour and the links shrink
-    to those between such nodes, so a dense group is gone after one round and
-    a chain after about the logarithm of its length.  Every round is
-    checkpointed; only its number of links left reaches the driver.
+    goes to its first neighbour's first neighbour in a scrambled order, and
+    the links shrink to those between such nodes: a dense group is gone after
+    one round, and any group after about the logarithm of its size, ids in a
+    row included.  Every round is checkpointed; only whether links are left
+    reaches the driver.
     """
-    both = lambda df: df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = checkpoint(both(links).where("a <> b").distinct())
+    pairs = links.select("a", "b").where("a <> b")
+    own = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node"), scrambled(F.col("a")).alias("own"))
+    a, b = scrambled(F.col("a")), scrambled(F.col("b"))
+    edges = checkpoint(pairs.select(a.alias("a"), b.alias("b")).union(pairs.select(b.alias("a"), a.alias("b"))).distinct())
     found = None
     while True:
-        near = edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("low"))
-        ahead = near.select(F.col("node").alias("low"), F.col("low").alias("label"))
-        moved = checkpoint(near.join(ahead, "low").select("node", "label"))  # a smallest neighbour is a node too
-        edges = edges.join(moved.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(
-            moved.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b"
+        near = edges.groupBy(F.col("a").alias("own")).agg(F.least("a", F.min("b")).alias("low"))
+        ahead = near.select(F.col("own").alias("low"), F.col("low").alias("label"))
+        moved = checkpoint(near.join(ahead, "low").select("own", "label"))  # a first neighbour is a node too
+        edges = edges.join(moved.select(F.col("own").alias("a"), F.col("label").alias("la")), "a").join(
+            moved.select(F.col("own").alias("b"), F.col("label").alias("lb")), "b"
         )
         edges = checkpoint(edges.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
         if found is None:
             found = moved
         else:
-            later = moved.select(F.col("node").alias("label"), F.col("label").alias("further"))
-            found = checkpoint(found.join(later, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
+            later = moved.select(F.col("own").alias("label"), F.col("label").alias("further"))
+            found = checkpoint(found.join(later, "label", "left").select("own", F.coalesce("further", "label").alias("label")))
         if edges.isEmpty():
-            return found.select("node", F.col("label").alias("component"))
+            break
+    named = own.join(found, "own").select("node", "label")
+    smallest = named.groupBy("label").agg(F.min("node").alias("component"))
+    return checkpoint(named.join(smallest, "label").select("node", "component"))
 
 
 def rows_about(df: DataFrame, key: Column, wanted: int, rows: int) -> DataFrame:
