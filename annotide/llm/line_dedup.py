@@ -220,10 +220,18 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     asked = entries(known, probes(edits), edits).select("entry", F.col("id").alias("other"))
     few = held.where(F.col("crowd") <= CROWD).select("entry", "id")
     pairs = few.join(asked, "entry").where("id <> other").union(few.join(few.select("entry", F.col("id").alias("other")), "entry").where("id < other"))
-    pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-
-    many = checkpoint(held.where(F.col("crowd") > CROWD).select("entry", "id"))
-    asking = checkpoint(asked.join(many.select("entry").distinct(), "entry", "left_semi"))
+    crowded = held.where(F.col("crowd") > CROWD)
+    asking = asked.join(crowded.select("entry").distinct(), "entry", "left_semi")
+    # pairs and the rows of crowded entries leave in one job, so lines are cut and shuffled once
+    kinds = (
+        pairs.select(F.lit(0).alias("kind"), F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")),
+        crowded.select(F.lit(1).alias("kind"), "entry", "id"),
+        asking.select(F.lit(2).alias("kind"), "entry", "other"),
+    )
+    rows = checkpoint(kinds[0].union(kinds[1]).union(kinds[2]))
+    pairs = rows.where("kind = 0").select("a", "b")
+    many = rows.where("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("id"))
+    asking = rows.where("kind = 2").select(F.col("a").alias("entry"), F.col("b").alias("other"))
     involved = many.select("id").union(asking.select("other")).distinct()
     marked = _held(lines.select(F.xxhash64("line").alias("id"), "line"), involved).distinct().select("id", counts(F.col("line")).alias("counts"))
     marked = checkpoint(marked)
