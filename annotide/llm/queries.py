@@ -77,7 +77,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learnt from the labels that are not held out."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(toxicity.labelled_texts(documents, table(spark, sf_dir, "labels")))
+    model = toxicity.trained(documents, table(spark, sf_dir, "labels"))
     rows = toxicity.toxicity(documents, model).select("doc_id", "score")
     return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -341,12 +341,12 @@ def train(documents: list[tuple[str, int]], seed: int = 7) -> Model:
 # ---------------------------------------------------------------- Spark
 
 
-def labelled_texts(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> list[tuple[str, int]]:
-    """At most about ``limit`` labelled documents of each class, whole texts.
+def labelled(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> DataFrame | None:
+    """(doc_id, text, toxic): at most about ``limit`` labelled documents of each class, whole texts.
 
     Rows whose crc32 of the doc_id as text leaves 1 when divided by 3 are held
     out and never read here; rows without label or doc_id neither.  Which
-    rows are taken is decided by a hash of the doc_id.
+    rows are taken is decided by a hash of the doc_id.  None without any.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
@@ -358,14 +358,34 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_D
     for toxic, rows in sorted(counts.items()):
         part = rows_about(known.where(F.col("toxic") == toxic), F.col("doc_id"), limit, rows)
         picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
-        return []
-    found = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by limit
-    table = found.toArrow()
+    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id") if picked is not None else None  # bounded by limit
+
+
+def _in_order(table: pa.Table) -> list[tuple[str, int]]:
     rows = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), table["toxic"].to_pylist(), strict=True), key=lambda r: (r[0], r[1] or ""))
     return [(text or "", int(toxic)) for _, text, toxic in rows]
 
 
+def trained(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> Model:
+    """The model of the labelled documents, fitted in one task on the bounded sample; only weights reach the driver."""
+    sample = labelled(documents, labels, limit)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        model = train(_in_order(pa.Table.from_batches(parts)) if parts else [])
+        at = np.flatnonzero(model.weights)
+        row = (model.codes.tobytes(), at.tobytes(), model.weights[at].tobytes(), model.slope, model.shift)
+        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["codes", "at", "weights", "slope", "shift"])
+
+    got = sample.repartition(1).mapInArrow(fit, "codes binary, at binary, weights binary, slope double, shift double").collect() if sample is not None else []
+    if not got:
+        return train([])
+    weights = np.zeros(SIZE**ORDER, np.float32)
+    weights[np.frombuffer(bytes(got[0]["at"]), np.int64)] = np.frombuffer(bytes(got[0]["weights"]), np.float32)
+    return Model(np.frombuffer(bytes(got[0]["codes"]), np.int32), weights, got[0]["slope"], got[0]["shift"])
+
+
 def toxicity(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``documents`` and ``score`` (0 to 1), one row for each row.
 
