@@ -272,7 +272,8 @@ def fingerprint_links(
         if held:
             yield from settle(False)
 
-    rows = entries(nodes, words, segments, width, per_word).repartition("entry").sortWithinPartitions("entry")
+    # sorted by print too: forests of a run must not depend on the order in which a shuffle delivers its rows
+    rows = entries(nodes, words, segments, width, per_word).repartition("entry").sortWithinPartitions("entry", *words)
     return rows.mapInArrow(run, schema).distinct()
 
 

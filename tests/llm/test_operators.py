@@ -599,3 +599,16 @@ def test_content_groups_keep_one_of_near_copies(spark):
     assert len([d for d in kept if d in near]) <= 0.05 * len(near)
     assert not [d for d in kept if d is not None and d < 600 and d % 10 == 9]
     assert kept.count(7002) == 1 and 7000 in kept and None not in kept
+
+
+def test_links_do_not_depend_on_the_order_of_rows(spark):
+    draw = random.Random(5)
+    base = (draw.getrandbits(63), draw.getrandbits(63))
+    prints = [tuple(w ^ sum(1 << draw.randrange(60) for _ in range(2)) for w in base) for _ in range(60)]
+    prints = sorted(set(prints))
+    found = []
+    for rows in (prints, prints[::-1], draw.sample(prints, len(prints))):
+        nodes = spark.createDataFrame(rows, "f0 long, f1 long").repartition(3)
+        links = simhash.fingerprint_links(nodes, ["f0", "f1"], 6, 21, 3, 24, 2)
+        found.append({tuple(r) for r in links.collect()})
+    assert found[0] and found[0] == found[1] == found[2]
