@@ -80,8 +80,9 @@ def may_be_near(a: Column, b: Column, edits: int) -> Column:
 
 
 def entries(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """(entry, id): a hash of (length, segment, substring) for each of ``places`` in each line.
+    """(entry, id, indexed): a hash of (length, segment, substring) for each of ``places`` in each line.
 
+    indexed tells the line's own segments from its probes of other lines.
     Segments' lengths differ by one at most, the longer ones last.  Lines are
     cut as four bytes a character, where a place needs no search.
     """
@@ -93,7 +94,8 @@ def entries(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) ->
     begin = short * F.col("at.n") + F.greatest(F.col("at.n") - shorter, F.lit(0)) + F.col("at.s")
     width = F.when(F.col("at.n") < shorter, short).otherwise(short + 1)
     piece = F.substring("chars", begin * 4 + 1, width * 4)
-    return rows.select(F.xxhash64(length, F.col("at.n"), piece).alias("entry"), "id")
+    indexed = (F.col("at.f") == 0) & (F.col("at.s") == 0)
+    return rows.select(F.xxhash64(length, F.col("at.n"), piece).alias("entry"), "id", indexed.alias("indexed"))
 
 
 def trimmed(a: Column, b: Column) -> Column:
@@ -208,27 +210,28 @@ def _held(lines: DataFrame, ids: DataFrame) -> DataFrame:
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): ids of the different lines in ``lines(line)`` within ``edits`` edits, each pair once.
 
-    An id is the line's 64-bit hash.  Each different line has its entries and
-    probes made once; texts come back only for lines of pairs that met.  The
+    An id is the line's 64-bit hash.  Each different line has its probes made
+    once; texts come back only for lines of pairs that met.  The
     lines of an entry that more than CROWD lines have make a pair only if
     their counts of characters allow it.
     """
     known = lines.select("line").distinct().select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size"))
-    own = entries(known, [(n, 0, 0) for n in range(edits + 1)], edits)
-    crowd = F.count("*").over(Window.partitionBy("entry"))
-    held = own.withColumn("crowd", crowd)
-    asked = entries(known, probes(edits), edits).select("entry", F.col("id").alias("other"))
-    few = held.where(F.col("crowd") <= CROWD).select("entry", "id")
-    pairs = few.join(asked, "entry").where("id <> other").union(few.join(few.select("entry", F.col("id").alias("other")), "entry").where("id < other"))
-    crowded = held.where(F.col("crowd") > CROWD)
-    asking = asked.join(crowded.select("entry").distinct(), "entry", "left_semi")
-    # pairs and the rows of crowded entries leave in one job, so lines are cut and shuffled once
-    kinds = (
-        pairs.select(F.lit(0).alias("kind"), F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")),
-        crowded.select(F.lit(1).alias("kind"), "entry", "id"),
-        asking.select(F.lit(2).alias("kind"), "entry", "other"),
+    own = [(n, 0, 0) for n in range(edits + 1)]
+    order = Window.partitionBy("entry").orderBy("id")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held = entries(known, own, edits).withColumns({"crowd": F.count("*").over(whole), "place": F.row_number().over(order)})
+    # a crowded entry is held by one row only, so a probe meets CROWD rows at most
+    held = held.where((F.col("crowd") <= CROWD) | (F.col("place") == 1)).select("entry", "id", (F.col("crowd") > CROWD).alias("crowded"))
+    asked = entries(known, own + probes(edits), edits).select("entry", F.col("id").alias("other"), "indexed")
+    # pairs and the rows of crowded entries leave by one join, so probes are cut and shuffled once
+    met = asked.join(held, "entry").where(F.expr("crowded or id < other or (not indexed and id > other)"))
+    rows = checkpoint(
+        met.select(
+            F.when(~F.col("crowded"), 0).when(F.col("indexed"), 1).otherwise(2).alias("kind"),
+            F.when(F.col("crowded"), F.col("entry")).otherwise(F.least("id", "other")).alias("a"),
+            F.when(F.col("crowded"), F.col("other")).otherwise(F.greatest("id", "other")).alias("b"),
+        )
     )
-    rows = checkpoint(kinds[0].union(kinds[1]).union(kinds[2]))
     pairs = rows.where("kind = 0").select("a", "b")
     many = rows.where("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("id"))
     asking = rows.where("kind = 2").select(F.col("a").alias("entry"), F.col("b").alias("other"))
