@@ -15,13 +15,13 @@ lets the output grow with the rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,8 +79,8 @@ def fingerprints(texts: Sequence[str], shingle: int = 3) -> np.ndarray:
     return majority(np.array([h for p in parts for h in p], np.uint64), begins)
 
 
-def set_signatures(texts: Sequence[str], shingle: int, words: int, bits: int = 64) -> np.ndarray:
-    """Fingerprints of ``words`` 64-bit words from each text's set of distinct shingles."""
+def shingle_sets(texts: Sequence[str], shingle: int) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted hashes; a text of fewer words is one shingle, one without words has none."""
     hashes, begins = joined_words([t.encode("utf-8", "surrogatepass").lower() for t in texts], TOKEN_BYTES)
     parts = []
     for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
@@ -93,10 +93,27 @@ def set_signatures(texts: Sequence[str], shingle: int, words: int, bits: int = 6
         for k in range(1, size):
             mix = mixed(mix) + own[k : len(own) - size + 1 + k]
         parts.append(np.unique(mixed(mix)))
-    starts = np.cumsum([0, *map(len, parts)])
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    keep = np.uint64((1 << bits) - 1)
-    return np.stack([majority(mixed(flat + np.uint64(k * 0x632BE59BD9B4E019 % (1 << 64))), starts) & keep for k in range(words)], 1)
+    return parts
+
+
+def band_keys(sets: Sequence[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each set, and its key in each band: a hash of the band and the smallest shingles by ``rows`` orders."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    nodes, keys = np.zeros(len(sets), np.uint64), np.zeros((len(sets), bands), np.uint64)
+    keys[:] = mixed(np.arange(bands, dtype=np.uint64))
+    if len(full):
+        flat = np.concatenate([sets[k] for k in full.tolist()])
+        starts = np.cumsum(sizes[full]) - sizes[full]
+        nodes[full] = mixed(np.add.reduceat(mixed(flat), starts) + sizes[full].astype(np.uint64))
+        draw = np.random.Generator(np.random.PCG64(20240301))
+        for band in range(bands):
+            own = keys[full, band]
+            for seed, step in draw.integers(1, 1 << 63, (rows, 2), dtype=np.uint64):
+                order = (flat ^ seed) * (step << np.uint64(1) | np.uint64(1))
+                own = mixed(own ^ np.minimum.reduceat(order, starts))
+            keys[full, band] = own
+    return nodes, keys
 
 
 # ---------------------------------------------------------------- index entries
@@ -311,62 +328,132 @@ def simhash_groups(
     )
 
 
-#: Near-duplicate groups by shared content.  Candidates: a fingerprint of the
-#: set of two-word shingles, 6 segments of 21 bits, at most CANDIDATE_BITS
-#: apart.  A pair of a five-word similarity of 0.8 has about a tenth of its
-#: bits different and meets in some segment in 95 of 100 cases, closer pairs
-#: more often.  Verification: a 512-bit fingerprint of the set of five-word
-#: shingles; at a similarity of 0.8 78 bits differ on average, with a
-#: deviation of 8, and VERIFIED_BITS lets all but a few such pairs pass.  Runs
-#: of more than two report the spanning forest of smallest distances: two
-#: texts at some distance stay joined by links that are no wider.
-CANDIDATE_SEGMENTS, CANDIDATE_WIDTH, CANDIDATE_BITS = 6, 21, 24
-VERIFY_WORDS, VERIFIED_BITS = 8, 90
+#: Near-duplicate groups by shared content: texts link if the sets of their
+#: five-word shingles have a Jaccard similarity of ALIKE or more.  Candidates
+#: share the smallest shingles by BAND_ROWS random orders in one of BANDS bands.
+#: The chance of that depends on the similarity s alone, wherever the texts
+#: differ: 1 - (1 - s^6)^24, 0.9993 at 0.8.  Every link is verified by the
+#: exact sets before a forest is made of links.
+SHINGLE = 5
+ALIKE = (4, 5)
+BANDS, BAND_ROWS = 24, 6
+
+
+def first_meetings(bands: np.ndarray, band: int) -> np.ndarray:
+    """Which rows of one run (equal in ``band``) have a partner there that they meet in no earlier band."""
+    needed = np.zeros(len(bands), bool)
+    for i in range(len(bands)):
+        if not needed[i]:
+            later = ~(bands[:, :band] == bands[i, :band]).any(1)
+            later[i] = False
+            if later.any():
+                needed |= later
+                needed[i] = True
+    return needed
+
+
+def alike_forest(sets: Sequence[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets that are alike, all of them verified."""
+    above, below = ALIKE
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    own, root, found = np.zeros(len(values), bool), np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        near = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        near = near[below * np.minimum(sizes[near], sizes[i]) >= above * np.maximum(sizes[near], sizes[i])]
+        if not len(near):
+            continue
+        own[ids[starts[i] : ends[i]]] = True
+        begins = np.cumsum(sizes[near]) - sizes[near]
+        both = np.add.reduceat(own[np.concatenate([ids[starts[j] : ends[j]] for j in near.tolist()])], begins, dtype=np.int64)
+        own[ids[starts[i] : ends[i]]] = False
+        near = near[below * both >= above * (sizes[near] + sizes[i] - both)]
+        others, first = np.unique(root[near], return_index=True)
+        found += [(i, int(j)) for j in near[first]]
+        root[np.isin(root, others)] = root[i]
+    return found
+
+
+def in_runs(rows: DataFrame, schema: T.StructType, result: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``result`` of each run of equal first columns, in the order of the first two columns."""
+    by = rows.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            value = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1).tolist(), len(value)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if held and held[-1].column(0)[0].as_py() != value[a]:
+                    yield from result(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from result(pa.Table.from_batches(held))
+
+    return rows.repartition(by).sortWithinPartitions(*rows.columns[:2]).mapInArrow(run, schema)
+
+
+def meeting_places(nodes: DataFrame) -> DataFrame:
+    """(place, node): the bands' runs of ``nodes(node, bands)`` in which candidate pairs meet first, and who is there."""
+    rows = nodes.select(F.explode("bands").alias("place"), "node")
+    met = rows.withColumn("n", F.count("*").over(Window.partitionBy("place"))).where("n > 1").select("place", "node")
+    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("node", T.LongType())])
+
+    def result(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        place = table.column("place")[0].as_py()
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+        needed = first_meetings(bands, int(np.flatnonzero(bands[0] == place)[0]))
+        if needed.any():
+            node = table.column("node").to_numpy()[needed]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), place)), pa.array(node)], names=["place", "node"])
+
+    return in_runs(met.join(nodes.select("node", "bands"), "node").select("place", "node", "bands"), schema, result)
+
+
+def alike_links(rows: DataFrame) -> DataFrame:
+    """(a, b): a forest of the links between the texts of each place in ``rows(place, node, text)``."""
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def result(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, at = np.unique(table.column("node").to_numpy(), return_index=True)
+        found = alike_forest(shingle_sets([t or "" for t in table.column("text").take(pa.array(at)).to_pylist()], SHINGLE))
+        if found:
+            pairs = node[np.array(found)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], names=["a", "b"])
+
+    return in_runs(rows, schema, result).distinct()
 
 
 def content_groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, content, keep): for each row of ``documents`` a hash of its text, and whether it leads its group.
 
-    Groups hold texts whose five-word shingles are alike by 0.8 or more, as
-    SimHash tells it, directly or through others.  The row with the smallest
-    key leads, rows without key come last; of rows equal in key and text all
-    are marked.
+    Groups hold texts whose sets of five-word shingles have a similarity of
+    0.8 or more, directly or through others.  The row with the smallest key
+    leads, rows without key come last; of rows equal in key and text all are
+    marked.
     """
-    prints = ["f0", "f1"]
-    checks = [f"v{k}" for k in range(VERIFY_WORDS)]
 
     def kernel(texts: list[str]) -> list[pa.Array]:
-        own = set_signatures(texts, 2, 2, CANDIDATE_WIDTH * 3).view(np.int64)
-        check = set_signatures(texts, 5, VERIFY_WORDS).view(np.int64)
-        return [pa.array(np.ascontiguousarray(c)) for c in (*own.T, *check.T)]
+        own, keys = band_keys(shingle_sets(texts, SHINGLE), BANDS, BAND_ROWS)
+        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS)
+        return [pa.array(own.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))]
 
     rows = documents.select(quoted(key).alias("__key"), F.xxhash64(quoted(text)).alias("content"), quoted(text).alias("__text"))
-    added = [T.StructField(n, T.LongType()) for n in (*prints, *checks)]
+    added = [T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     signed = checkpoint(append_columns(rows, "__text", added, kernel).drop("__text"))
     order = F.struct(F.col("__key").isNull().alias("missing"), F.col("__key").alias("key"), F.col("content").alias("content"))
-    node = F.xxhash64(*prints, *checks).alias("node")
-    nodes = checkpoint(signed.groupBy(*prints, *checks).agg(F.min(order).alias("first")).select("*", node))
-    met = fingerprint_links(
-        nodes.select(*prints).distinct(), prints, CANDIDATE_SEGMENTS, CANDIDATE_WIDTH, 3, CANDIDATE_BITS, 2
-    )
-
-    def side(name: str) -> DataFrame:
-        return nodes.select(
-            *[F.col(p).alias(f"{name}{k}") for k, p in enumerate(prints)], *[F.col(c).alias(f"{name}_{c}") for c in checks], F.col("node").alias(name)
-        )
-
-    pairs = met.join(side("a"), ["a0", "a1"]).join(side("b"), ["b0", "b1"])
-    same = nodes.groupBy(*prints).agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    alike = (
-        nodes.join(same, prints)
-        .where("node <> lead")
-        .select(*[F.col(c).alias(f"b_{c}") for c in checks], F.col("node").alias("b"), F.col("lead").alias("a"))
-        .join(side("a").drop("a0", "a1"), "a")
-    )
-    differing = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in checks), F.lit(0))
-    columns = ["a", "b", *[f"a_{c}" for c in checks], *[f"b_{c}" for c in checks]]
-    links = pairs.select(*columns).unionByName(alike.select(*columns)).where(differing <= VERIFIED_BITS).select("a", "b")
-    found = components(links)
+    nodes = checkpoint(signed.groupBy("node").agg(F.min(order).alias("first"), F.first("bands").alias("bands")))
+    places = checkpoint(meeting_places(nodes))
+    wanted = places.select("node").distinct().join(nodes, "node").select("node", "first").alias("w")
+    texts = rows.alias("r").join(
+        wanted, F.col("r.__key").eqNullSafe(F.col("w.first.key")) & (F.col("r.content") == F.col("w.first.content"))
+    ).select("node", F.col("__text").alias("text"))
+    found = components(checkpoint(alike_links(places.join(texts, "node").select("place", "node", "text"))))
     grouped = nodes.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("root"))
     leaders = grouped.groupBy("root").agg(F.min("first").alias("first")).select(
         F.col("first.key").alias("__lead"), F.col("first.content").alias("content"), F.lit(True).alias("keep")

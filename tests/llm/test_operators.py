@@ -612,3 +612,34 @@ def test_links_do_not_depend_on_the_order_of_rows(spark):
         links = simhash.fingerprint_links(nodes, ["f0", "f1"], 6, 21, 3, 24, 2)
         found.append({tuple(r) for r in links.collect()})
     assert found[0] and found[0] == found[1] == found[2]
+
+
+def jaccard(a, b):
+    own = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
+    return len(own[0] & own[1]) / len(own[0] | own[1])
+
+
+@pytest.mark.parametrize("kind", ["appended", "truncated", "replaced", "scattered"])
+@pytest.mark.parametrize("size", [60, 300])
+def test_copies_that_differ_in_one_piece_are_dropped(spark, kind, size):
+    draw = random.Random(31)
+    rows = []
+    for k in range(300):
+        own = [f"w{draw.randrange(10**6)}" for _ in range(size)]
+        piece, least = [f"n{draw.randrange(10**6)}" for _ in range(size)], draw.choice([0.8, 0.85, 0.9])
+        best = None
+        for n in range(1, size // 3):  # the widest change that the similarity allows
+            at = size // 4
+            copy = {
+                "appended": own + piece[:n],
+                "truncated": own[:-n],
+                "replaced": own[:at] + piece[:n] + own[at + n :],
+                "scattered": [piece[i] if i % max(5, size // n) == 4 else w for i, w in enumerate(own)],
+            }[kind]
+            if jaccard(" ".join(own), " ".join(copy)) >= least:
+                best = copy
+        rows += [(2 * k, " ".join(own))] + ([(2 * k + 1, " ".join(best))] if best else [])
+    assert sum(d % 2 for d, _ in rows) >= 100
+    kept = [r["doc_id"] for r in simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {d for d, _ in rows if d % 2 == 0} <= set(kept)
+    assert sum(d % 2 for d in kept) <= 0.01 * sum(d % 2 for d, _ in rows)
