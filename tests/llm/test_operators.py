@@ -643,3 +643,37 @@ def test_copies_that_differ_in_one_piece_are_dropped(spark, kind, size):
     kept = [r["doc_id"] for r in simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert {d for d, _ in rows if d % 2 == 0} <= set(kept)
     assert sum(d % 2 for d in kept) <= 0.01 * sum(d % 2 for d, _ in rows)
+
+
+def test_true_links_are_kept_among_false_ones():
+    draw = random.Random(3)
+    for _ in range(40):
+        base = draw.sample(range(10**9), 100)
+        sets = []
+        for _ in range(draw.randint(2, 30)):
+            own = draw.sample(base, draw.randint(80, 100)) + draw.sample(range(10**9, 2 * 10**9), draw.randint(0, 8))
+            sets.append(np.unique(np.array(own, np.uint64)))
+        like = lambda a, b: 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+        found = simhash.alike_forest(sets)
+        assert all(like(sets[a], sets[b]) for a, b in found)
+
+        def groups(links):
+            root = list(range(len(sets)))
+            for a, b in links:
+                root = [root[a] if r == root[b] else r for r in root]
+            return root
+
+        pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if like(sets[a], sets[b])]
+        one, other = groups(found), groups(pairs)
+        assert all((one[a] == one[b]) == (other[a] == other[b]) for a in range(len(sets)) for b in range(len(sets)))
+        assert len(found) == len(sets) - len(set(other))
+
+
+def test_pairs_meet_in_the_first_band_they_share():
+    draw = np.random.default_rng(2)
+    for _ in range(50):
+        bands = draw.integers(0, 3, (12, 5))
+        for band in range(1, 5):
+            rows = bands[bands[:, band] == 0]
+            later = [[i != j and not (rows[i, :band] == rows[j, :band]).any() for j in range(len(rows))] for i in range(len(rows))]
+            assert simhash.first_meetings(rows, band).tolist() == [any(x) for x in later]
