@@ -346,6 +346,11 @@ def gaussian_smoothing(spark, sf):
     return rows.select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
 
 
+@query()
+def gaussian_smoothing_all_users(spark, sf):
+    return statistics.smoothed(table(spark, sf, "events"), ["user_id"], "event_id", "value", 3.0).select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
+
+
 # ------------------------------------------------------------------ labels
 
 

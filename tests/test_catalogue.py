@@ -155,3 +155,17 @@ def test_used_once_counts_add_up(spark):
     own, found = catalogue.derived(spark, DATA)
     rows = catalogue.QUERIES["used_once_match"](spark, DATA).collect()
     assert sum(r["tp"] + r["fn"] for r in rows) == own.count() and sum(r["tp"] + r["fp"] for r in rows) == found.count()
+
+
+def test_smoothing_of_all_users_equals_plain_one(spark, duck):
+    users = {}
+    for user, event, value in duck.sql("select user_id, event_id, value from events order by user_id, event_id").fetchall():
+        users.setdefault(user, []).append((event, value))
+    want = {}
+    for user, rows in users.items():
+        for k, (event, _) in enumerate(rows):
+            near = [(math.exp(-((j - k) ** 2) / 18), rows[j][1]) for j in range(max(0, k - 12), min(len(rows), k + 13))]
+            want[user, event] = sum(w * v for w, v in near) / sum(w for w, _ in near)
+    got = {(r["user_id"], r["event_id"]): r["smooth"] for r in catalogue.QUERIES["gaussian_smoothing_all_users"](spark, DATA).collect()}
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(v, abs=2e-6) for k, v in want.items())
