@@ -1,23 +1,20 @@
-"""Benchmark decontamination by CGK embeddings and bit-sampling LSH.
-
-Texts become sequences of words, lower-cased and without punctuation.  The
-CGK random walk copies a sequence into one of up to three times its length,
-staying on a word or stepping on as a random function of the word and the
-step says; few edits between two sequences then leave few places different.
-A repetition samples some places of the walk and looks the sampled words up
-among those of the items, so windows close to an item meet it in at least
-one repetition with the target probability.  Every meeting is verified by the
-exact edit distance of words, computed bit-parallel from the window's start.
-
-A window starts at a word that some item holds, and most of its words must
-be words of items: both follow from the edit bound, so they drop no match.
+"""Benchmark decontamination by whole pieces of items.
+
+Texts become sequences of words, lower-cased and without punctuation.  An
+item that may differ by k edits is cut into k + 1 pieces; no edit touches two
+of them, so every match holds one piece as it is, wherever the edits are.
+Words of documents are looked up among the pieces; each meeting gives a
+stretch that would hold the match, and stretches that meet are joined.  A
+stretch with enough words of the item is verified by the exact edit distance
+of words, computed bit-parallel.  Nothing is sampled: no match is lost.
+
+A match starts at a word that some item holds: one of fewest edits always can.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +26,8 @@ from annotide.llm.common import Lookup, append_columns, joined_words, mixed
 
 #: Two passages are alike if at least this share of an item's words stays unedited.
 SIMILARITY = 0.8
-TARGET_RECALL = 0.98
-#: Places of a walk that one repetition samples.
-SAMPLED = 3
-MOST_REPETITIONS = 48
 #: Bytes of item text that one pass over the documents holds in every executor.
 ITEM_BLOCK_BYTES = 16 << 20
-_END = np.uint64(0x5851F42D4C957F2D)
 
 LEAKS = T.ArrayType(
     T.StructType(
@@ -55,23 +47,14 @@ _LEAKS_ARROW = pa.list_(
 
 
 @dataclass
-class Repetition:
-    places: list[int]
-    seeds: np.ndarray
-    #: For each sampled place the keys that items have so far; the last maps to items.
-    prefixes: list[np.ndarray]
+class Pieces:
+    """All pieces of one length: their hashes in order, the item of each and its place there."""
+
+    length: int
+    known: Lookup
     keys: np.ndarray
     items: np.ndarray
-
-
-@dataclass
-class Band:
-    """Items of nearly one length, and the repetitions for windows of their size."""
-
-    width: int
-    edits: int
-    members: list[int]
-    repetitions: list[Repetition] = field(default_factory=list)
+    places: np.ndarray
 
 
 @dataclass
@@ -80,7 +63,7 @@ class Plan:
     words: list[np.ndarray]
     masks: list[dict[int, int]]
     known: Lookup
-    bands: list[Band]
+    pieces: list[Pieces]
 
 
 def allowed(words: int, similarity: float = SIMILARITY) -> int:
@@ -88,65 +71,16 @@ def allowed(words: int, similarity: float = SIMILARITY) -> int:
     return int(words * (1 - similarity) + 1e-9)
 
 
-def embed(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, rep: Repetition, look: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Walk from every start and return the starts that still meet an item, and their keys.
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """One hash for the ``length`` words from each start."""
+    key = hashes[starts]
+    for k in range(1, length):
+        key = mixed(key) + hashes[starts + k]
+    return mixed(key)
 
-    With ``look`` false all starts are kept, as for the items themselves.
-    """
-    at = starts.copy()
-    alive = np.arange(len(starts))
-    key = np.zeros(len(starts), np.uint64)
-    sampled = 0
-    for step in range(rep.places[-1] + 1):
-        inside = at < ends
-        word = np.where(inside, hashes[np.minimum(at, len(hashes) - 1)], _END)
-        if step == rep.places[sampled]:
-            key = mixed(key ^ word)
-            if look:
-                seen = rep.prefixes[sampled]
-                keep = np.flatnonzero(seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] == key)
-                if not len(keep):
-                    return alive[:0], key[:0]
-                at, ends, key, alive, word = at[keep], ends[keep], key[keep], alive[keep], word[keep]
-            else:
-                rep.prefixes.append(np.unique(key))
-            sampled += 1
-        at += ((word ^ rep.seeds[step]) * (rep.seeds[step] | np.uint64(1)) >> np.uint64(63)).astype(np.int64)
-    return alive, key
-
-
-def _repetition(draw: np.random.Generator, width: int) -> Repetition:
-    length = max(1, 2 * width - 2)
-    places = sorted(draw.choice(length, min(SAMPLED, length), replace=False).tolist())
-    return Repetition(places, draw.integers(1, 1 << 63, length + 1, dtype=np.uint64), [], np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def _hit_rate(draw: np.random.Generator, width: int, edits: int, trials: int = 300) -> float:
-    """How often one repetition brings a sequence and a copy with so many random edits together."""
-    length, rows = width + edits + 1, []
-    for _ in range(trials):
-        word = draw.integers(1, 1 << 63, length, dtype=np.uint64)
-        copy = word.tolist()
-        for kind, at in zip(draw.integers(0, 3, edits), draw.integers(1, max(2, width - 1), edits), strict=True):
-            if kind == 0:
-                copy[at] = int(draw.integers(1, 1 << 63))
-            elif kind == 1:
-                copy.insert(at, int(draw.integers(1, 1 << 63)))
-            elif len(copy) > at + 1:
-                copy.pop(at)
-        copy += [int(x) for x in draw.integers(1, 1 << 63, length)]
-        rows.append((word, np.array(copy[:length], np.uint64)))
-    met = 0
-    a, b = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    starts = np.arange(trials) * length
-    for _ in range(8):
-        rep = _repetition(draw, width)
-        met += int((embed(a, starts, starts + width, rep, False)[1] == embed(b, starts, starts + width, rep, False)[1]).sum())
-    return met / (8 * trials)
-
-
-def build_plan(ids: Sequence[int], texts: Sequence[str], similarity: float = SIMILARITY, recall: float = TARGET_RECALL, seed: int = 11) -> Plan:
-    """Hash the items and build repetitions until a simulated worst match is found with the target recall.
+
+def build_plan(ids: Sequence[int], texts: Sequence[str], similarity: float = SIMILARITY) -> Plan:
+    """Hash the items and cut each into one piece more than it allows edits.
 
     Items without a word are never found.  Items of fewer than 1 / (1 -
     similarity) words allow no edit.
@@ -156,30 +90,25 @@ def build_plan(ids: Sequence[int], texts: Sequence[str], similarity: float = SIM
     kept = [k for k in range(len(texts)) if len(words[k])]
     ids, words = [ids[k] for k in kept], [words[k] for k in kept]
     masks = []
-    for own in words:
+    cut: dict[int, list[tuple[int, int]]] = {}
+    for k, own in enumerate(words):
         mask: dict[int, int] = {}
         for i, w in enumerate(own.tolist()):
             mask[w] = mask.get(w, 0) | 1 << i
         masks.append(mask)
-    draw = np.random.Generator(np.random.PCG64(seed))
-    bands: list[Band] = []
-    for k in sorted(range(len(words)), key=lambda k: (len(words[k]), k)):
-        if not bands or len(words[k]) > bands[-1].width * 1.25:
-            bands.append(Band(len(words[k]), 0, []))
-        bands[-1].members.append(k)
-        bands[-1].edits = allowed(len(words[k]), similarity)
-    for band in bands:
-        flat = np.concatenate([words[k][: band.width] for k in band.members])
-        starts = np.arange(len(band.members)) * band.width
-        rate = _hit_rate(draw, band.width, band.edits) if band.edits else 1.0
-        repeats = 1 if rate > 0.999 else min(MOST_REPETITIONS, max(1, math.ceil(math.log(1 - recall) / math.log(1 - max(rate, 1e-3)))))
-        for _ in range(repeats):
-            rep = _repetition(draw, band.width)
-            _, key = embed(flat, starts, starts + band.width, rep, False)
-            order = np.argsort(key, kind="stable")
-            rep.keys, rep.items = key[order], np.array(band.members)[order]
-            band.repetitions.append(rep)
-    return Plan(list(ids), words, masks, Lookup(np.concatenate(words) if words else np.zeros(0, np.uint64)), bands)
+        parts = allowed(len(own), similarity) + 1
+        edges = [len(own) * i // parts for i in range(parts + 1)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            cut.setdefault(b - a, []).append((k, a))
+    flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    first = np.cumsum([0, *map(len, words)])
+    pieces = []
+    for length, rows in sorted(cut.items()):
+        items, places = np.array(rows, np.int64).T
+        keys = run_hashes(flat, first[items] + places, length)
+        order = np.argsort(keys, kind="stable")
+        pieces.append(Pieces(length, Lookup(keys), keys[order], items[order], places[order]))
+    return Plan(list(ids), words, masks, Lookup(flat), pieces)
 
 
 def prefix_distance(mask: dict[int, int], size: int, text: Sequence[int], limit: int) -> tuple[int, int]:
@@ -214,6 +143,65 @@ def prefix_distance(mask: dict[int, int], size: int, text: Sequence[int], limit:
     return found, end
 
 
+def nearest_ends(mask: dict[int, int], size: int, text: Sequence[int]) -> tuple[int, list[int]]:
+    """Smallest edit distance between a whole item and any stretch of ``text``, and where such stretches end."""
+    full = (1 << size) - 1
+    top = 1 << (size - 1)
+    plus, minus, score = full, 0, size
+    found, ends = size, []
+    for j, word in enumerate(text):
+        same = mask.get(word, 0)
+        diagonal = (((same & plus) + plus) ^ plus) | same | minus
+        up = minus | (~(diagonal | plus) & full)
+        down = plus & diagonal
+        if up & top:
+            score += 1
+        elif down & top:
+            score -= 1
+        up = (up << 1) & full  # a match may start anywhere
+        down = (down << 1) & full
+        plus = down | (~(diagonal | up) & full)
+        minus = up & diagonal
+        if score < found:
+            found, ends = score, []
+        if score == found:
+            ends.append(j + 1)
+    return found, ends
+
+
+def stretches(plan: Plan, hashes: np.ndarray, begins: np.ndarray, held: np.ndarray, similarity: float) -> list[tuple[int, int, int, int]]:
+    """(row, item, from, to): where pieces of the item say that it may stand, joined where they meet."""
+    row_of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    count = np.concatenate([[0], np.cumsum(held)])
+    found = []
+    for own in plan.pieces:
+        last = len(hashes) - own.length + 1
+        if last <= 0:
+            continue
+        starts = np.flatnonzero((count[own.length :] - count[:last] == own.length) & (row_of[own.length - 1 :] == row_of[:last]))
+        keys = run_hashes(hashes, starts, own.length)
+        met = own.known.ids(keys) >= 0
+        starts, keys = starts[met], keys[met]
+        low, high = np.searchsorted(own.keys, keys, "left"), np.searchsorted(own.keys, keys, "right")
+        at = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())
+        starts = np.repeat(starts, high - low)
+        found.append((row_of[starts], own.items[at], starts - own.places[at]))
+    if not sum(len(x[0]) for x in found):
+        return []
+    row, item, at = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((at, item, row))
+    row, item, at = row[order], item[order], at[order]
+    sizes = np.array([len(w) for w in plan.words], np.int64)
+    edits = np.array([allowed(n, similarity) for n in sizes.tolist()], np.int64)
+    low = np.maximum(at - edits[item], begins[row])
+    high = np.minimum(at + sizes[item] + edits[item], begins[row + 1])
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(row)) - 1
+    return list(zip(row[heads].tolist(), item[heads].tolist(), low[heads].tolist(), high[tails].tolist(), strict=True))
+
+
 def find(plan: Plan, texts: Sequence[str], similarity: float = SIMILARITY) -> list[list[dict]]:
     """For each text the items found in it: the match of fewest edits, the first of those."""
     out: list[dict[int, tuple]] = [{} for _ in texts]
@@ -223,35 +211,24 @@ def find(plan: Plan, texts: Sequence[str], similarity: float = SIMILARITY) -> li
     if not len(hashes):
         return [[] for _ in texts]
     held = plan.known.ids(hashes) >= 0
-    ends_of = np.repeat(begins[1:], np.diff(begins))
-    first = np.flatnonzero(held)
-    count = np.concatenate([[0], np.cumsum(held)])
-    for band in plan.bands:
-        stop = ends_of[first]
-        reach = np.minimum(first + band.width, stop)
-        short = band.width - (reach - first)
-        good = (short <= band.edits) & (count[reach] - count[first] + short >= band.width - band.edits)
-        starts, stops, limits = first[good], reach[good], stop[good]
-        pairs: set[tuple[int, int]] = set()
-        for rep in band.repetitions:
-            if not len(starts):
-                break
-            alive, key = embed(hashes, starts, stops, rep)
-            low, high = np.searchsorted(rep.keys, key, "left"), np.searchsorted(rep.keys, key, "right")
-            for s, lo, hi in zip(alive.tolist(), low.tolist(), high.tolist(), strict=True):
-                pairs.update((s, k) for k in rep.items[lo:hi].tolist())
-        for s, k in sorted(pairs):
-            size = len(plan.words[k])
-            limit = allowed(size, similarity)
-            start = int(starts[s])
-            text = hashes[start : min(start + size + limit, int(limits[s]))].tolist()
-            distance, end = prefix_distance(plan.masks[k], size, text, limit)
-            if distance <= limit:
-                row = int(np.searchsorted(begins, start, "right")) - 1
-                at = start - int(begins[row])
-                was = out[row].get(k)
+    for row, k, low, high in stretches(plan, hashes, begins, held, similarity):
+        size, mask = len(plan.words[k]), plan.masks[k]
+        limit = allowed(size, similarity)
+        text = hashes[low:high].tolist()
+        if sum(w in mask for w in text) < size - limit:
+            continue
+        distance, ends = nearest_ends(mask, size, text)
+        was = out[row].get(k)
+        if distance > limit or was is not None and was[0] < distance:
+            continue
+        may = {s for e in ends for s in range(max(0, e - size - distance), e - size + distance + 1) if 0 <= s < len(text) and held[low + s]}
+        for s in sorted(may):
+            own, end = prefix_distance(mask, size, text[s : s + size + limit], limit)
+            if own == distance:
+                at = low + s - int(begins[row])
                 if was is None or (distance, at) < was[:2]:
                     out[row][k] = (distance, at, at + end)
+                break
     return [
         sorted(
             (

@@ -300,6 +300,46 @@ def test_edited_leaks_reach_the_target_recall(spark):
     assert found >= 0.95 * len(items)
 
 
+@pytest.mark.parametrize("size", [5, 17, 40, 120, 300])
+@pytest.mark.parametrize("kind", ["first words missing", "first words new", "last words missing", "in one place", "scattered"])
+def test_no_leak_is_lost_wherever_its_edits_are(kind, size):
+    draw = random.Random(size)
+    items = [[f"i{draw.randrange(3000)}" for _ in range(size)] for _ in range(40)]
+    plan = decontamination.build_plan(list(range(40)), [" ".join(x) for x in items])
+    edits = decontamination.allowed(size)
+    for k, item in enumerate(items):
+        new = [f"zz{draw.random()}".replace(".", "") for _ in range(edits)]
+        middle = size // 3
+        places = sorted(draw.sample(range(size), edits))
+        copy = {
+            "first words missing": item[edits:],
+            "first words new": new + item[edits:],
+            "last words missing": item[:-edits],
+            "in one place": item[:middle] + new + item[middle + edits :],
+            "scattered": [new[places.index(i)] if i in places else w for i, w in enumerate(item)],
+        }[kind]
+        found = {m["item_id"]: m for m in decontamination.find(plan, ["zzbefore it " + " ".join(copy) + " zzand after"])[0]}
+        assert k in found and found[k]["distance"] <= edits
+
+
+def test_found_places_equal_plain_ones():
+    draw = random.Random(4)
+    for _ in range(150):
+        items = [[f"w{draw.randrange(6)}" for _ in range(draw.randint(1, 14))] for _ in range(3)]
+        words = [f"w{draw.randrange(7)}" for _ in range(draw.randint(0, 30))]
+        plan = decontamination.build_plan([0, 1, 2], [" ".join(x) for x in items])
+        got = {m["item_id"]: (m["distance"], m["start_word"], m["end_word"]) for m in decontamination.find(plan, ["w0 w1 w2", " ".join(words)])[1]}
+        for k, item in enumerate(items):
+            own = [
+                (edit_distance(item, words[a:b]), a, b)
+                for a in range(len(words))
+                if any(words[a] in x for x in items)
+                for b in range(a + 1, min(len(words), a + 2 * len(item)) + 1)
+            ]
+            best = min(own, default=(99, 0, 0))
+            assert got.get(k) == (best if best[0] <= decontamination.allowed(len(item)) else None)
+
+
 def test_leaks_of_awkward_rows(spark, awkward, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "???"), (4, "words here cc by"), (4, "words here cc by"), (None, "a line")], "item_id long, text string")
     got = [(r["doc_id"], [m["item_id"] for m in r["leaks"]]) for r in decontamination.with_leaks(awkward, items).collect()]
