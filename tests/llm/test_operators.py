@@ -685,6 +685,35 @@ def test_copies_that_differ_in_one_piece_are_dropped(spark, kind, size):
     assert sum(d % 2 for d in kept) <= 0.01 * sum(d % 2 for d, _ in rows)
 
 
+def test_groups_are_those_of_exact_similarities(spark):
+    draw = random.Random(8)
+    rows = []
+    for k in range(40):
+        own = [f"w{draw.randrange(10**6)}" for _ in range(200)]
+        piece = [f"n{draw.randrange(10**6)}" for _ in range(400)]
+        for c in range(8):  # some links of 0.8 and more among many of 0.7 and more
+            n, at = draw.randint(5, 33), draw.choice([0, 20, 160])
+            copy = own[:at] + piece[40 * c : 40 * c + n] + own[at + n :]
+            rows.append((100 * k + c, " ".join(copy)))
+    want = set()
+    for k in range(40):
+        own, left = [r for r in rows if r[0] // 100 == k], []
+        near = {a: {b for b, u in own if jaccard(t, u) >= 0.8} for a, t in own}
+        seen = set()
+        for a in sorted(near):
+            if a not in seen:
+                want.add(a)
+                todo = [a]
+                while todo:
+                    b = todo.pop()
+                    if b not in seen:
+                        seen.add(b)
+                        todo += near[b]
+    assert 40 < len(want) < len(rows)
+    kept = {r["doc_id"] for r in simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want ^ kept) <= 1
+
+
 def test_true_links_are_kept_among_false_ones():
     draw = random.Random(3)
     for _ in range(40):
