@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,12 +19,15 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the shared folder of ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test) gets a folder of its own.
+    A local session without that setting (a test) gets a folder of its own; on
+    a cluster that is an error, as executors would not share it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="annotide-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -129,8 +132,26 @@ def rows_about(df: DataFrame, key: Column, wanted: int, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(grain)) < F.lit(int(wanted * grain / rows)))
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+#: Bits of the maps that find wanted rows before a shuffle: 16 for each wanted value, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 24
+
+
+def maybe_in(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``rows`` whose 64-bit ``column`` may be in the one column of ``wanted``: all that are, and few others.
+
+    A bit map is broadcast, 64 bits a row: MOST_BITS bits (some 16 MB) at most.
+    Beyond some 10^7 wanted values it passes most rows on.  A join must follow.
+    """
+    bits = LEAST_BITS
+    n = wanted.count()
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    slot = lambda c: F.pmod(F.xxhash64(c, F.lit("slot")), F.lit(bits))
+    own = slot(F.col(wanted.columns[0]))
+    one = F.expr("shiftleft(1L, cast(__slot % 64 as int))")
+    words = wanted.select(own.alias("__slot")).select(F.expr("__slot div 64").alias("__word"), one.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    here = rows.withColumn("__slot", slot(quoted(column))).withColumn("__word", F.expr("__slot div 64")).join(F.broadcast(words), "__word")
+    return here.where("shiftrightunsigned(__bits, cast(__slot % 64 as int)) & 1 = 1").select(*map(quoted, rows.columns))
 
 
 #: Fixed odd multipliers and byte values of the word hash, drawn from a seed.

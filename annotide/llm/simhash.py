@@ -21,11 +21,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annotide.llm.common import TOKEN_BYTES, append_columns, checkpoint, components, joined_words, mixed, quoted, without
+from annotide.llm.common import TOKEN_BYTES, append_columns, checkpoint, components, joined_words, maybe_in, mixed, quoted
 
 #: Runs up to this length are compared offset by offset and report all links.
 SHORT_RUN = 64
@@ -333,41 +333,39 @@ def simhash_groups(
 #: share the smallest shingles by BAND_ROWS random orders in one of BANDS bands.
 #: The chance of that depends on the similarity s alone, wherever the texts
 #: differ: 1 - (1 - s^6)^24, 0.9993 at 0.8.  Every link is verified by the
-#: exact sets before a forest is made of links.
+#: exact sets.  Bands are taken in SWEEPS: groups found in one sweep are one
+#: label in the next, which compares different labels only.
 SHINGLE = 5
 ALIKE = (4, 5)
 BANDS, BAND_ROWS = 24, 6
+SWEEPS = ((0, 2), (2, 8), (8, 24))
+#: Shingles that one task compares at once (about); places with more are cut into cells.
+CELL_SHINGLES = 1 << 18
 
 
-def first_meetings(bands: np.ndarray, band: int) -> np.ndarray:
-    """Which rows of one run (equal in ``band``) have a partner there that they meet in no earlier band."""
-    needed = np.zeros(len(bands), bool)
-    for i in range(len(bands)):
-        if not needed[i]:
-            later = ~(bands[:, :band] == bands[i, :band]).any(1)
-            later[i] = False
-            if later.any():
-                needed |= later
-                needed[i] = True
-    return needed
+def alike_forest(sets: Sequence[np.ndarray], labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of sets that are alike, all verified: enough to join every two labels that have such a pair.
 
-
-def alike_forest(sets: Sequence[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of sets that are alike, all of them verified."""
+    Pairs have one set in ``left`` and one in ``right``; sets of one label
+    aren't compared, nor are sets whose labels earlier pairs have joined.
+    """
     above, below = ALIKE
     sizes = np.array([len(s) for s in sets], np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    own, root, found = np.zeros(len(values), bool), np.arange(len(sets)), []
-    for i in range(len(sets) - 1):
-        near = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+    own, root, found = np.zeros(len(values), bool), np.unique(labels, return_inverse=True)[1], []
+    done = np.zeros(len(sets), bool)
+    for i in np.flatnonzero(left).tolist():
+        done[i] = right[i]
+        near = np.flatnonzero(right & (root != root[i]) & ~(done & left))
         near = near[below * np.minimum(sizes[near], sizes[i]) >= above * np.maximum(sizes[near], sizes[i])]
         if not len(near):
             continue
         own[ids[starts[i] : ends[i]]] = True
         begins = np.cumsum(sizes[near]) - sizes[near]
-        both = np.add.reduceat(own[np.concatenate([ids[starts[j] : ends[j]] for j in near.tolist()])], begins, dtype=np.int64)
+        at = np.repeat(starts[near] - begins, sizes[near]) + np.arange(int(sizes[near].sum()))
+        both = np.add.reduceat(own[ids[at]], begins, dtype=np.int64)
         own[ids[starts[i] : ends[i]]] = False
         near = near[below * both >= above * (sizes[near] + sizes[i] - both)]
         others, first = np.unique(root[near], return_index=True)
@@ -398,37 +396,69 @@ def in_runs(rows: DataFrame, schema: T.StructType, result: Callable[[pa.Table],
     return rows.repartition(by).sortWithinPartitions(*rows.columns[:2]).mapInArrow(run, schema)
 
 
-def meeting_places(nodes: DataFrame) -> DataFrame:
-    """(place, node): the bands' runs of ``nodes(node, bands)`` in which candidate pairs meet first, and who is there."""
-    rows = nodes.select(F.explode("bands").alias("place"), "node")
-    met = rows.withColumn("n", F.count("*").over(Window.partitionBy("place"))).where("n > 1").select("place", "node")
-    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("node", T.LongType())])
-
-    def result(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        place = table.column("place")[0].as_py()
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
-        needed = first_meetings(bands, int(np.flatnonzero(bands[0] == place)[0]))
-        if needed.any():
-            node = table.column("node").to_numpy()[needed]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), place)), pa.array(node)], names=["place", "node"])
-
-    return in_runs(met.join(nodes.select("node", "bands"), "node").select("place", "node", "bands"), schema, result)
-
-
 def alike_links(rows: DataFrame) -> DataFrame:
-    """(a, b): a forest of the links between the texts of each place in ``rows(place, node, text)``."""
+    """(a, b): labels joined by a pair of like texts in a cell of ``rows(cell, node, label, side, text)``.
+
+    side 0 is compared with side 1, and side 2 with all of its own.
+    """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def result(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, at = np.unique(table.column("node").to_numpy(), return_index=True)
-        found = alike_forest(shingle_sets([t or "" for t in table.column("text").take(pa.array(at)).to_pylist()], SHINGLE))
+        node, at, back = np.unique(table.column("node").to_numpy(), return_index=True, return_inverse=True)
+        label, side = table.column("label").to_numpy()[at], table.column("side").to_numpy()
+        left, right = np.zeros(len(node), bool), np.zeros(len(node), bool)
+        left[back[side != 1]] = True
+        right[back[side != 0]] = True
+        sets = shingle_sets([t or "" for t in table.column("text").take(pa.array(at)).to_pylist()], SHINGLE)
+        found = alike_forest(sets, label, left, right)
         if found:
-            pairs = node[np.array(found)]
+            pairs = np.sort(label[np.array(found)], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], names=["a", "b"])
 
     return in_runs(rows, schema, result).distinct()
 
 
+def places(nodes: DataFrame, labels: DataFrame | None, low: int, high: int) -> DataFrame:
+    """(place, node, label, size, weight): who is in the places of bands ``low`` to ``high`` that have several labels."""
+    rows = nodes.select("node", "size", F.explode(F.slice("bands", low + 1, high - low)).alias("place"))
+    if labels is None:
+        rows = rows.withColumn("label", F.col("node"))
+    else:
+        rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = rows.groupBy("place").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("size").alias("weight"))
+    return rows.join(several.where("low <> high").select("place", "weight"), "place").select("place", "node", "label", "size", "weight")
+
+
+def cells(members: DataFrame) -> DataFrame:
+    """(cell, node, label, side): each place of ``places`` as one cell, or cut by a hash into cells of bounded weight."""
+    parts = F.ceil(F.col("weight") / CELL_SHINGLES).cast("long")
+    cut = F.when(parts > 1, F.pmod(F.xxhash64("node", F.lit("cell")), parts)).otherwise(F.lit(0))
+    return members.select(F.xxhash64("place", cut).alias("cell"), "node", "label", F.lit(2).alias("side"))
+
+
+def crossed_cells(members: DataFrame) -> DataFrame:
+    """(cell, node, label, side): the rest of the places that ``cells`` has cut, all pairs of labels that cells kept apart.
+
+    Every such pair has a text outside the label that weighs most in its
+    place; those (side 1) meet each part of the place (side 0) in a cell of its
+    own.  A group that its cells have joined has none.
+    """
+    many = members.where(F.col("weight") > CELL_SHINGLES)
+    held = many.groupBy("place", "label").agg(F.sum("size").alias("held"))
+    top = held.groupBy("place").agg(F.max(F.struct("held", "label")).alias("top"), F.sum("held").alias("weight"))
+    top = top.select("place", F.col("top.label").alias("most"), "weight", (F.col("weight") - F.col("top.held")).alias("rest")).where("rest > 0")
+    rows = many.drop("weight").join(top, "place")
+    parts = F.ceil(F.col("weight") / CELL_SHINGLES).cast("long")
+    others = F.ceil(F.col("rest") / CELL_SHINGLES).cast("long")
+    own = F.pmod(F.xxhash64("node", F.lit("cell")), parts)
+    other = F.pmod(F.xxhash64("node", F.lit("other")), others)
+    all_parts = rows.select("place", "node", "label", F.lit(0).alias("side"), own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), others - 1)).alias("j"))
+    few = rows.where("label <> most").select(
+        "place", "node", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("i"), other.alias("j")
+    )
+    return all_parts.unionByName(few).select(F.xxhash64("place", "i", "j").alias("cell"), "node", "label", "side")
+
+
 def content_groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, content, keep): for each row of ``documents`` a hash of its text, and whether it leads its group.
 
@@ -439,22 +469,44 @@ def content_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
     """
 
     def kernel(texts: list[str]) -> list[pa.Array]:
-        own, keys = band_keys(shingle_sets(texts, SHINGLE), BANDS, BAND_ROWS)
+        sets = shingle_sets(texts, SHINGLE)
+        own, keys = band_keys(sets, BANDS, BAND_ROWS)
         offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS)
-        return [pa.array(own.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))]
+        bands = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))
+        return [pa.array(own.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), bands]
 
     rows = documents.select(quoted(key).alias("__key"), F.xxhash64(quoted(text)).alias("content"), quoted(text).alias("__text"))
-    added = [T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    added = [T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     signed = checkpoint(append_columns(rows, "__text", added, kernel).drop("__text"))
     order = F.struct(F.col("__key").isNull().alias("missing"), F.col("__key").alias("key"), F.col("content").alias("content"))
-    nodes = checkpoint(signed.groupBy("node").agg(F.min(order).alias("first"), F.first("bands").alias("bands")))
-    places = checkpoint(meeting_places(nodes))
-    wanted = places.select("node").distinct().join(nodes, "node").select("node", "first").alias("w")
-    texts = rows.alias("r").join(
-        wanted, F.col("r.__key").eqNullSafe(F.col("w.first.key")) & (F.col("r.content") == F.col("w.first.content"))
-    ).select("node", F.col("__text").alias("text"))
-    found = components(checkpoint(alike_links(places.join(texts, "node").select("place", "node", "text"))))
-    grouped = nodes.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("root"))
+    nodes = checkpoint(signed.groupBy("node").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+
+    def linked(found: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+        """``labels`` after the links between the texts that meet in the cells of ``found``."""
+        found = checkpoint(found)
+        wanted = checkpoint(found.select("node").distinct().join(nodes, "node").select("node", F.col("first.content").alias("content")))
+        here = maybe_in(rows.select("content", "__text"), "content", wanted.select("content"))
+        # one text for each hash, so that copies are never fetched one by one
+        texts = here.groupBy("content").agg(F.first("__text").alias("text")).join(wanted, "content").select("node", "text")
+        links = checkpoint(alike_links(found.join(texts, "node").select("cell", "node", "label", "side", "text")))
+        if links.isEmpty():
+            return labels
+        later = components(links).select(F.col("node").alias("label"), F.col("component").alias("further"))
+        if labels is None:
+            return later.select(F.col("label").alias("node"), F.col("further").alias("label"))
+        moved = labels.join(later, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+        fresh = later.join(labels, F.col("node") == later["label"], "left_anti").select(F.col("label").alias("node"), F.col("further").alias("label"))
+        return checkpoint(moved.unionByName(fresh))
+
+    labels = None
+    for low, high in SWEEPS:
+        labels = linked(cells(places(nodes, labels, low, high)), labels)
+        rest = checkpoint(crossed_cells(places(nodes, labels, low, high)))
+        if not rest.isEmpty():
+            labels = linked(rest, labels)
+    grouped = nodes.select("node", "first").withColumn("root", F.col("node"))
+    if labels is not None:
+        grouped = nodes.select("node", "first").join(labels, "node", "left").select("first", F.coalesce("label", "node").alias("root"))
     leaders = grouped.groupBy("root").agg(F.min("first").alias("first")).select(
         F.col("first.key").alias("__lead"), F.col("first.content").alias("content"), F.lit(True).alias("keep")
     )
@@ -467,18 +519,24 @@ def content_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
 def without_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of ``content_groups``; columns as they come.
 
-    Of rows that repeat a leading row's key and text, the one with the
-    smallest hash of all its columns stays.
+    Of rows that repeat a leading row's key and text, the one whose other
+    columns come first as JSON stays; rows equal in that too are
+    interchangeable.
     """
-    groups = checkpoint(content_groups(documents, key, text).where("keep").select(quoted(key).alias("__lead"), F.col("content").alias("__content")))
-    leaders = groups.distinct()
-    kept = (
-        documents.withColumn("__content", F.xxhash64(quoted(text)))
-        .alias("d")
-        .join(leaders.alias("g"), F.col(f"d.`{key}`").eqNullSafe(F.col("g.__lead")) & (F.col("d.__content") == F.col("g.__content")), "left_semi")
-    )
-    if groups.count() > leaders.count():
-        others = [c for c in documents.columns if c not in (key, text)]
-        kept = kept.groupBy(quoted(key), "__content").agg(F.min_by(F.struct(*map(quoted, documents.columns)), F.xxhash64(F.lit(0), *map(quoted, others))).alias("row"))
-        return kept.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
-    return kept.select(*map(quoted, documents.columns))
+    groups = content_groups(documents, key, text).where("keep").groupBy(quoted(key).alias("__lead"), F.col("content").alias("__content"))
+    leaders = checkpoint(groups.agg(F.count("*").alias("__rows")))
+    rows = documents.withColumn("__content", F.xxhash64(quoted(text)))
+
+    def led(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+        d, g = rows.alias("d"), leaders.alias("g")
+        return d.join(g, F.col(f"d.`{key}`").eqNullSafe(F.col("g.__lead")) & (F.col("d.__content") == F.col("g.__content")), "left_semi")
+
+    kept = led(rows, leaders.where("__rows = 1")).select(*map(quoted, documents.columns))
+    several = checkpoint(leaders.where("__rows > 1"))
+    if several.isEmpty():
+        return kept
+    others = [c for c in documents.columns if c not in (key, text)]
+    rank = F.to_json(F.struct(*map(quoted, others))) if others else F.lit("")
+    repeated = led(maybe_in(rows, "__content", several.select("__content")), several).groupBy(quoted(key), "__content")
+    repeated = repeated.agg(F.min_by(F.struct(*map(quoted, documents.columns)), rank).alias("row"))
+    return kept.unionByName(repeated.select(*[F.col("row").getField(c).alias(c) for c in documents.columns]))

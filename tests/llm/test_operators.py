@@ -685,7 +685,7 @@ def test_copies_that_differ_in_one_piece_are_dropped(spark, kind, size):
     assert sum(d % 2 for d in kept) <= 0.01 * sum(d % 2 for d, _ in rows)
 
 
-def test_groups_are_those_of_exact_similarities(spark):
+def test_groups_are_those_of_exact_similarities(spark, monkeypatch):
     draw = random.Random(8)
     rows = []
     for k in range(40):
@@ -710,8 +710,40 @@ def test_groups_are_those_of_exact_similarities(spark):
                         seen.add(b)
                         todo += near[b]
     assert 40 < len(want) < len(rows)
-    kept = {r["doc_id"] for r in simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.without_near_duplicates(table).collect()}
     assert len(want ^ kept) <= 1
+    monkeypatch.setattr(simhash, "CELL_SHINGLES", 700)  # places are cut into cells, and what these kept apart is crossed
+    assert {r["doc_id"] for r in simhash.without_near_duplicates(table.repartition(5)).collect()} == kept
+    whole = draw.sample(rows, 40)
+    for text_of_all in ("", " shared " * 40):
+        assert len({r["doc_id"] for r in simhash.without_near_duplicates(spark.createDataFrame([(d, text_of_all) for d, _ in whole], "doc_id long, text string")).collect()}) == 1
+
+
+def test_cut_places_compare_all_labels_that_cells_kept_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_SHINGLES", 50)
+    draw = random.Random(4)
+    rows = [(place, 100 * place + k, 100 * place + (k if k % 3 else 0), 10, 10 * n) for place, n in ((1, 40), (2, 4), (3, 7)) for k in range(n)]
+    members = spark.createDataFrame(draw.sample(rows, len(rows)), "place long, node long, label long, size long, weight long")
+    met = set()
+    for cut in (simhash.cells(members), simhash.crossed_cells(members)):
+        held = defaultdict(list)
+        for r in cut.collect():
+            held[r["cell"]].append(r)
+        for own in held.values():
+            assert sum(10 for _ in own) <= 4 * 50
+            met |= {(x["node"], y["node"]) for x in own for y in own if x["label"] != y["label"] and x["side"] != 1 and y["side"] != 0}
+    for p, a, la, *_ in rows:
+        for q, b, lb, *_ in rows:
+            assert ((a, b) in met or (b, a) in met) == (p == q and la != lb) or p != q and (a, b) not in met
+
+
+def test_near_duplicates_with_maps_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f", {"x": "2"}), (1, "a b c d e f", {"x": "1"}), (2, "a b c d e f", None), (None, None, {"x": None}), (None, None, None), (9, "", {}), (3, "z", {"q": "r"})]
+    table = spark.createDataFrame(rows, "doc_id long, text string, extra map<string, string>")
+    kept = {(r["doc_id"], r["text"], tuple((r["extra"] or {}).items())) for r in simhash.without_near_duplicates(table).collect()}
+    assert kept == {(1, "a b c d e f", (("x", "1"),)), (9, "", ()), (3, "z", (("q", "r"),))}
+    assert simhash.without_near_duplicates(table.limit(0)).count() == 0
 
 
 def test_true_links_are_kept_among_false_ones():
@@ -723,7 +755,10 @@ def test_true_links_are_kept_among_false_ones():
             own = draw.sample(base, draw.randint(80, 100)) + draw.sample(range(10**9, 2 * 10**9), draw.randint(0, 8))
             sets.append(np.unique(np.array(own, np.uint64)))
         like = lambda a, b: 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
-        found = simhash.alike_forest(sets)
+        labels, whole = np.array([draw.randrange(2**40) for _ in sets]), np.ones(len(sets), bool)
+        if draw.random() < 0.3:
+            labels[-1] = labels[0]  # one group already: pairs between these two are not needed
+        found = simhash.alike_forest(sets, labels, whole, whole)
         assert all(like(sets[a], sets[b]) for a, b in found)
 
         def groups(links):
@@ -732,17 +767,8 @@ def test_true_links_are_kept_among_false_ones():
                 root = [root[a] if r == root[b] else r for r in root]
             return root
 
+        same = [(a, b) for a in range(len(sets)) for b in range(a) if labels[a] == labels[b]]
         pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if like(sets[a], sets[b])]
-        one, other = groups(found), groups(pairs)
+        one, other = groups(found + same), groups(pairs + same)
         assert all((one[a] == one[b]) == (other[a] == other[b]) for a in range(len(sets)) for b in range(len(sets)))
-        assert len(found) == len(sets) - len(set(other))
-
-
-def test_pairs_meet_in_the_first_band_they_share():
-    draw = np.random.default_rng(2)
-    for _ in range(50):
-        bands = draw.integers(0, 3, (12, 5))
-        for band in range(1, 5):
-            rows = bands[bands[:, band] == 0]
-            later = [[i != j and not (rows[i, :band] == rows[j, :band]).any() for j in range(len(rows))] for i in range(len(rows))]
-            assert simhash.first_meetings(rows, band).tolist() == [any(x) for x in later]
+        assert len(found) == len(set(labels.tolist())) - len(set(other))
