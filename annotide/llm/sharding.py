@@ -20,8 +20,34 @@ from pyspark.sql import types as T
 from annotide.llm.common import quoted, without
 
 BUCKET_BYTES = 8 << 20
-#: Offsets of so many buckets at most are broadcast (16 bytes each); more are joined.
-BROADCAST_BUCKETS = 1 << 20
+#: Buckets at most, so that their offsets (16 bytes each) can be broadcast; beyond it buckets grow (to 100 MB at 100 TB).
+MOST_BUCKETS = 1 << 20
+
+
+def record_hash(records: DataFrame, seed: int, method=F.xxhash64) -> F.Column:
+    """A hash of whole records: nulls count by their place, nested columns and maps as JSON."""
+    plain, nested = [], []
+    for field in records.schema.fields:
+        value = quoted(field.name)
+        if isinstance(field.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType)):
+            nested.append(F.to_json(F.struct(value), {"ignoreNullFields": "false"}))
+        else:
+            plain.append(value)
+    nulls = F.concat(F.lit("n"), *[F.when(c.isNull(), "1").otherwise("0") for c in plain])
+    return method(F.lit(seed), nulls, *plain, *nested)
+
+
+def repeats(batch: pa.RecordBatch, at: np.ndarray) -> np.ndarray:
+    """Which rows ``at`` of ``batch`` equal the row before them in every column."""
+    same = np.ones(len(at), bool)
+    for column in batch.columns:
+        try:
+            here, before = column.take(pa.array(at)), column.take(pa.array(at - 1))
+            equal = pc.if_else(pc.and_(pc.is_null(here), pc.is_null(before)), True, pc.fill_null(pc.equal(here, before), False))
+            same &= equal.to_numpy(zero_copy_only=False)
+        except pa.ArrowNotImplementedError:  # nested values
+            same &= np.array([column.slice(k, 1).equals(column.slice(k - 1, 1)) for k in at.tolist()], bool)
+    return same
 
 
 def shuffled_shards(
@@ -31,19 +57,18 @@ def shuffled_shards(
 
     ``size`` is a record's bytes.  The order is a seeded random permutation
     that depends on the records alone, not on their partitioning; records
-    equal in all columns are interchangeable and a task holds them once.  An
-    empty input gives an empty result.  Columns named shard or slot are
-    replaced.
+    equal in all columns, compared value by value, are interchangeable and a
+    task holds them once.  An empty input gives an empty result.  Columns named
+    shard or slot are replaced.
     """
     records = without(records, ["shard", "slot"])
     own = [f.name for f in records.schema.fields]
-    plain = [f.name for f in records.schema.fields if not isinstance(f.dataType, T.MapType)]
-    draw = F.xxhash64(F.lit(seed), *map(quoted, plain))
+    draw, other = record_hash(records, seed), record_hash(records, seed, F.hash)
     total = records.agg(F.sum(size.cast("long")).alias("bytes"), F.count("*").alias("rows")).first()
     rows = total["rows"]
-    buckets = max(1, -(-(total["bytes"] or 0) // bucket_bytes))
+    buckets = min(MOST_BUCKETS, max(1, -(-(total["bytes"] or 0) // bucket_bytes)))
     bucket = F.pmod(F.xxhash64(F.lit("bucket"), F.col("__draw")), F.lit(buckets)).alias("__bucket")
-    drawn = records.withColumns({"__draw": draw, "__other": F.hash(F.lit(seed), *map(quoted, plain))}).select("*", bucket)
+    drawn = records.withColumns({"__draw": draw, "__other": other}).select("*", bucket)
 
     counts = records.select(draw.alias("__draw")).select(bucket).groupBy("__bucket").agg(F.count("*").alias("__n"))
     offsets = counts.select(
@@ -55,7 +80,7 @@ def shuffled_shards(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         copies: list[int] = []
-        state = {"bucket": None, "draw": None, "other": None}
+        state = {"bucket": None, "draw": None, "other": None, "row": None}
 
         def emit() -> Iterator[pa.RecordBatch]:
             if not held:
@@ -86,10 +111,14 @@ def shuffled_shards(
                 if in_bucket[a] != state["bucket"]:
                     yield from emit()
                     state["bucket"], state["draw"] = in_bucket[a], None
-                begins = state["draw"] is None or drawn_as[a] != state["draw"] or other[a] != state["other"]
+                begins = state["draw"] is None or drawn_as[a] != state["draw"] or other[a] != state["other"] or not rest.slice(a, 1).equals(state["row"])
                 changes = (drawn_as[a + 1 : b] != drawn_as[a : b - 1]) | (other[a + 1 : b] != other[a : b - 1])
                 new = np.concatenate([[begins], changes])
-                state["draw"], state["other"] = drawn_as[b - 1], other[b - 1]
+                alike = a + np.flatnonzero(~new)
+                alike = alike[alike > a]
+                if len(alike):  # equal hashes: only rows equal in every column are copies
+                    new[alike - a] = ~repeats(rest, alike)
+                state["draw"], state["other"], state["row"] = drawn_as[b - 1], other[b - 1], rest.slice(b - 1, 1)
                 group = np.cumsum(new)
                 if group[0] == 0:
                     copies[-1] += int((group == 0).sum())
@@ -99,11 +128,10 @@ def shuffled_shards(
         yield from emit()
 
     mixed = drawn.repartition("__bucket").sortWithinPartitions("__bucket", "__draw", "__other").mapInArrow(run, schema)
-    small = F.broadcast(offsets) if buckets <= BROADCAST_BUCKETS else offsets
     place = F.col("__offset") + F.col("__place")
     cut = F.expr(f"(__at * {shards}) div {max(1, rows)}")
     return (
-        mixed.join(small, "__bucket")
+        mixed.join(F.broadcast(offsets), "__bucket")
         .withColumn("__at", place)
         .withColumn("__shard", cut)
         .select(

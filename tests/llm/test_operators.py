@@ -129,6 +129,26 @@ def test_equal_rows_are_held_once_and_all_come_back(spark):
     assert sorted((r["shard"], r["count"]) for r in got.groupBy("shard").count().collect()) == [(0, 667), (1, 667), (2, 666)]
 
 
+def test_unequal_rows_never_become_copies_of_one_another(spark):
+    schema = "lang string, source string, tags map<string, string>, deep struct<m: map<string, int>>, many array<string>, at timestamp, raw binary, n double"
+    rows = [("web", None, None, None, None, None, None, None), (None, "web", None, None, None, None, None, None), (None, None, {"a": "b"}, None, None, None, None, None)]
+    rows += [(None, None, {"a": "c"}, None, None, None, None, None), (None, None, {"a": None}, None, None, None, None, None), (None, None, {}, None, None, None, None, None)]
+    rows += [(None, None, None, ({"x": 1},), None, None, None, 0.5), (None, None, None, ({"x": 2},), None, None, None, 0.5), (None, None, None, (None,), None, None, None, 0.5)]
+    rows += [(None, None, None, None, ["p", None], None, b"a", None), (None, None, None, None, [None, "p"], None, b"b", None), (None,) * 8]
+    table = spark.createDataFrame([r for k, r in enumerate(rows) for _ in range(1 + k % 4)], schema)
+    times = table.limit(2).withColumn("at", F.timestamp_micros(F.when(F.col("lang").isNull(), 1).otherwise(2).cast("long")))
+    table = table.unionByName(times).unionByName(times)
+    got = sharding.shuffled_shards(table.repartition(3), F.lit(8), 5, bucket_bytes=64)
+    assert Counter(str(tuple(r)[:-2]) for r in got.collect()) == Counter(str(tuple(r)) for r in table.collect())
+
+
+def test_equal_hashes_don_t_make_rows_equal(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "record_hash", lambda *_: F.lit(1).cast("long"))
+    table = spark.createDataFrame([(k // 2 % 3, "ab"[k % 2], {"k": k % 4}) for k in range(48)], "n int, t string, m map<string, int>")
+    got = sharding.shuffled_shards(table, F.lit(8), 5)
+    assert Counter(str(tuple(r)[:-2]) for r in got.collect()) == Counter(str(tuple(r)) for r in table.collect())
+
+
 def test_shards_of_no_rows(empty):
     assert sharding.shuffled_shards(empty, F.lit(1), 24).count() == 0
 
