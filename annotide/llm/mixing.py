@@ -3,9 +3,11 @@
 The words of each source, its documents in a seeded order, form a stream that
 is cut into blocks of equal length.  As many blocks as the corpus holds are
 allotted to the sources by the highest quotients target / (2 k - 1), so every
-source has an integer quota, dealt on to the shards.  A quota takes whole
-passes over a source's blocks first; the rest is a run of blocks from a seeded
-start in the seeded order, around the end if needed.
+source has an integer quota, dealt on to the shards: quotas are integers for
+every shard and source.  Each shard then selects its quota of blocks: the runs
+of a source's shards follow one another from a seeded start in the seeded
+order, around the end and on as often as needed, so no block comes twice
+before all came once.
 
 DataFrame operations only.  Positions in a stream come from sums over
 (source, slice of the order) and within them, so no source meets in one task.
@@ -20,6 +22,8 @@ from annotide.llm.common import SPACE_WORD, quoted, without
 
 #: Words in a block; the most times a document may be taken; weights by rank of the source.
 BLOCK_WORDS, MOST_COPIES, WEIGHTS = 32, 3, (5, 2, 1)
+#: Shards that quotas are given to.
+SHARDS = 24
 SEED = "mix-1"
 
 
@@ -103,6 +107,24 @@ def shard_quotas(allotted: DataFrame, shards: int) -> DataFrame:
     return rows.select("__source", "shard", F.floor((F.col("__quota") - ahead + shards - 1) / shards).cast("long").alias("quota"))
 
 
+def shard_runs(allotted: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
+    """``allotted`` with __start, the seeded first block, and __runs: each shard's blocks from ``low`` to ``high``.
+
+    Blocks are counted on over several passes: block k of the source stands
+    for k, k + __blocks and so on.  One row a source, one run a shard.
+    """
+    start = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:start:"), F.col("__source"))), 1, 8), 16, 10).cast("long"), F.col("__blocks"))
+    dealt = shard_quotas(allotted, shards).groupBy("__source").agg(F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("__dealt"))
+    rows = allotted.join(dealt, "__source").withColumn("__start", F.when(F.col("__blocks") > 0, start).otherwise(F.lit(0)))
+
+    def run(x: Column, k: Column) -> Column:
+        before = F.aggregate(F.slice("__dealt", 1, k), F.lit(0).cast("long"), lambda a, y: a + y["quota"])
+        low = F.col("__start") + before
+        return F.struct(x["shard"].alias("shard"), low.alias("low"), (low + x["quota"]).alias("high"))
+
+    return rows.withColumn("__runs", F.transform("__dealt", run)).drop("__dealt")
+
+
 def mixed(
     documents: DataFrame,
     text: str = "text",
@@ -112,78 +134,81 @@ def mixed(
     weights: tuple[int, ...] = WEIGHTS,
     copies: int = MOST_COPIES,
     seed: str = SEED,
+    shards: int = SHARDS,
 ) -> DataFrame:
-    """``documents`` with size, source_size, target, taken, and taken_from (first word of the part taken once more).
-
-    taken counts a document's words in the blocks of its source's quota,
-    repeats included; it never exceeds ``copies`` times its size.  Empty
-    and null texts have size 0 and take nothing; null is a source of its own,
-    last in order.  Rows equal in key and size may swap places.  Columns with
-    these names are replaced.
+    """``documents`` with size, source_size, target, taken, taken_from and taken_by_shard.
+
+    taken_by_shard has (shard, words) for every shard whose blocks of the
+    document's source hold words of it; taken is their sum, repeats included,
+    and never exceeds ``copies`` times the size.  taken_from is the first word
+    of the part taken once more than the rest.  Empty and null texts have size 0
+    and take nothing; null is a source of its own, last in order.  Rows equal
+    in key, size and text may swap places.  Columns with these names are
+    replaced.
     """
-    rows = without(documents, ["size", "source_size", "target", "taken", "taken_from"])
+    rows = without(documents, ["size", "source_size", "target", "taken", "taken_from", "taken_by_shard"])
     own = rows.columns
     drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(quoted(key).cast("string"), F.lit("~"))))
-    rows = rows.withColumns({"size": words_in(quoted(text)), "__source": _source_key(quoted(source)), "__draw": drawn}).withColumn(
-        "__slice", F.substring("__draw", 1, 3)
-    )
+    tie = F.xxhash64(quoted(text))
+    rows = rows.withColumns({"size": words_in(quoted(text)), "__source": _source_key(quoted(source)), "__draw": drawn, "__tie": tie})
+    rows = rows.withColumn("__slice", F.substring("__draw", 1, 3))
     sums = rows.groupBy("__source", "__slice").agg(F.sum("size").alias("__words"))
     in_source = Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = sums.select("__source", "__slice", F.coalesce(F.sum("__words").over(in_source), F.lit(0)).alias("__before"))
     sizes = sums.groupBy("__source").agg(F.sum("__words").alias("source_size"))
-    plan = slices.join(quotas(targets(sizes, weights, copies), block_words, copies), "__source")
-    within = Window.partitionBy("__source", "__slice").orderBy("__draw", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plan = slices.join(shard_runs(quotas(targets(sizes, weights, copies), block_words, copies), shards, seed), "__source")
+    within = Window.partitionBy("__source", "__slice").orderBy("__draw", "size", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__upto", F.sum("size").over(within)).join(plan, ["__source", "__slice"])
-    start = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:start:"), F.col("__source"))), 1, 8), 16, 10).cast("long"), F.col("__blocks"))
-    rows = rows.withColumns(
-        {
-            "__end": F.col("__before") + F.col("__upto"),
-            "__passes": F.when(F.col("__blocks") > 0, F.expr("__quota div __blocks")).otherwise(F.lit(0)),
-            "__rest": F.when(F.col("__blocks") > 0, F.expr("__quota % __blocks")).otherwise(F.lit(0)),
-            "__start": F.when(F.col("__blocks") > 0, start).otherwise(F.lit(0)),
-        }
-    )
-    rows = rows.withColumns(
-        {
-            "__begin": F.col("__end") - F.col("size"),
-            "__from": F.col("__start") * block_words,
-            "__to": F.least((F.col("__start") + F.col("__rest")) * block_words, F.col("source_size")),
-            "__around": F.greatest((F.col("__start") + F.col("__rest") - F.col("__blocks")) * block_words, F.lit(0)),
-        }
-    )
-    once_more = F.greatest(F.least("__end", "__to") - F.greatest("__begin", "__from"), F.lit(0))
-    wrapped = F.greatest(F.least("__end", "__around") - F.col("__begin"), F.lit(0))
+    rows = rows.withColumn("__end", F.col("__before") + F.col("__upto")).withColumn("__begin", F.col("__end") - F.col("size"))
+
+    def words(x: Column) -> Column:
+        """Words of the document in one shard's run, over all passes that the run can touch."""
+        total: Column = F.lit(0).cast("long")
+        for turn in range(copies + 1):
+            first = F.greatest(x["low"] - turn * F.col("__blocks"), F.lit(0)) * block_words
+            last = F.least(F.least(x["high"] - turn * F.col("__blocks"), F.col("__blocks")) * block_words, F.col("source_size"))
+            total = total + F.greatest(F.least(F.col("__end"), last) - F.greatest(F.col("__begin"), first), F.lit(0))
+        return F.struct(x["shard"].alias("shard"), total.alias("words"))
+
+    parts = F.filter(F.transform("__runs", words), lambda x: x["words"] > 0)
+    around = F.when(F.col("__blocks") > 0, F.greatest(F.col("__start") + F.expr("__quota % __blocks") - F.col("__blocks"), F.lit(0))).otherwise(F.lit(0))
+    rows = rows.withColumn("taken_by_shard", F.when(F.col("size") > 0, parts).otherwise(F.array().cast("array<struct<shard:int,words:bigint>>")))
     return rows.select(
         *map(quoted, own),
         "size",
         "source_size",
         "target",
-        (F.col("__passes") * F.col("size") + once_more + wrapped).alias("taken"),
-        F.when(wrapped > 0, F.lit(0)).otherwise(F.greatest(F.col("__from") - F.col("__begin"), F.lit(0))).alias("taken_from"),
+        F.aggregate("taken_by_shard", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"),
+        F.when(F.col("__begin") < around * block_words, F.lit(0))
+        .otherwise(F.greatest(F.col("__start") * block_words - F.col("__begin"), F.lit(0)))
+        .alias("taken_from"),
+        "taken_by_shard",
     )
 
 
-def mixed_documents(documents: DataFrame, text: str = "text", **options) -> DataFrame:
+def mixed_documents(documents: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
     """The mix itself: a row for each time a document is taken, with the words taken.
 
     A document in whole passes comes whole each time.  A part (at the ends of
     a source's run of blocks) keeps its words and the white space before
     them; a run that wraps inside one document takes its beginning and its end
     as one part.  Documents of which nothing is taken, empty ones among them,
-    are left out.  A column n_chars, if there, follows the text.
+    are left out.  All columns come as they are, whatever their names; a
+    column n_chars, if there, follows the text.
     """
-    rows = mixed(documents, text, **options).where("taken > 0")
-    part = F.expr("taken % size")
-    whole = F.expr("taken div size")
-    rows = rows.withColumns({"__part": part, "__whole": whole})
+    named = {c: f"__own{k}" for k, c in enumerate(documents.columns)}
+    own = documents.select(*[quoted(c).alias(n) for c, n in named.items()])
+    words = named[text]
+    rows = mixed(own, words, named[source], named[key], **options).where("taken > 0")
+    rows = rows.withColumns({"__part": F.expr("taken % size"), "__whole": F.expr("taken div size")})
     rows = rows.withColumn("__turn", F.explode(F.sequence(F.lit(1), (F.col("__whole") + (F.col("__part") > 0).cast("long")).cast("int"))))
-    pieces = F.regexp_extract_all(quoted(text), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    pieces = F.regexp_extract_all(F.col(words), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     cut = F.expr("__turn > __whole")
     fits = F.col("taken_from") + F.col("__part") <= F.col("size")
     tail = F.col("size") - F.col("taken_from")
     ends = F.concat(F.slice("__pieces", 1, (F.col("__part") - F.greatest(tail, F.lit(0))).cast("int")), F.slice("__pieces", (F.col("taken_from") + 1).cast("int"), tail.cast("int")))
     rows = rows.withColumn("__pieces", F.when(cut, pieces))
     piece = F.when(fits, F.slice("__pieces", (F.col("taken_from") + 1).cast("int"), F.col("__part").cast("int"))).otherwise(ends)
-    rows = rows.withColumn(text, F.when(cut, F.array_join(piece, "")).otherwise(quoted(text)))
-    columns = [F.length(quoted(text)).cast("long").alias(c) if c == "n_chars" else quoted(c) for c in documents.columns]
-    return rows.select(*columns)
+    rows = rows.withColumn(words, F.when(cut, F.array_join(piece, "")).otherwise(F.col(words)))
+    kinds = dict(documents.dtypes)
+    return rows.select(*[(F.length(words).cast(kinds[c]) if c == "n_chars" else F.col(n)).alias(c) for c, n in named.items()])
