@@ -360,6 +360,44 @@ def test_found_places_equal_plain_ones():
             assert got.get(k) == (best if best[0] <= decontamination.allowed(len(item)) else None)
 
 
+@pytest.mark.parametrize("size", [20, 60, 200, 800])
+def test_long_items_with_all_their_edits_are_found(size):
+    draw = random.Random(size)
+    items = [[f"i{draw.randrange(4000)}" for _ in range(size)] for _ in range(30)]
+    plan = decontamination.build_plan(list(range(30)), [" ".join(x) for x in items])
+    edits, found = decontamination.allowed(size), 0
+    for k, item in enumerate(items):
+        copy = list(item)
+        for n in range(edits):
+            kind, at = draw.randrange(3), draw.randrange(len(copy)) if n else 0  # the first word too
+            copy[at : at + (kind != 1)] = [f"zz{draw.randrange(10**9)}"] if kind < 2 else []
+        found += k in {m["item_id"] for m in decontamination.find(plan, ["zzbefore " + " ".join(copy) + " zzafter"])[0]}
+    assert found >= 0.95 * 30
+
+
+def test_leaks_equal_brute_force(spark, documents):
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    texts = [(r["item_id"], r["text"]) for r in items.collect()]
+    edited = [(10**6 + i, "zz " + " ".join(w for k, w in enumerate(t.split()) if k % 7 != 3) + " zz") for i, t in texts]
+    rows = documents.select("doc_id", "text").unionByName(spark.createDataFrame(edited, "doc_id long, text string"))
+    plan = decontamination.build_plan([i for i, _ in texts], [t for _, t in texts])
+    want = set()
+    for doc, text in [tuple(r) for r in rows.collect()]:
+        words = decontamination.joined_words([text.lower().encode()])[0].tolist()
+        for k, item in enumerate(plan.ids):
+            distance, _ = decontamination.nearest_ends(plan.masks[k], len(plan.words[k]), words)
+            if distance <= decontamination.allowed(len(plan.words[k])):
+                want.add((doc, item, distance))
+    got = {(r["doc_id"], leak["item_id"], leak["distance"]) for r in decontamination.with_leaks(rows, items).collect() for leak in r["leaks"]}
+    assert len(want) > 40 and got == want
+
+
+def test_an_id_stays_in_one_block_of_items(spark):
+    items = spark.createDataFrame([(k // 2, f"word{k} " * 40) for k in range(8)], "item_id long, text string")
+    blocks = list(decontamination.item_blocks(items, 300))
+    assert [sorted(set(ids)) for ids, _ in blocks] == [[0], [1], [2], [3]]
+
+
 def test_leaks_of_awkward_rows(spark, awkward, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "???"), (4, "words here cc by"), (4, "words here cc by"), (None, "a line")], "item_id long, text string")
     got = [(r["doc_id"], [m["item_id"] for m in r["leaks"]]) for r in decontamination.with_leaks(awkward, items).collect()]
