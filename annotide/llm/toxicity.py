@@ -386,11 +386,11 @@ def trained(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENT
     return Model(np.frombuffer(bytes(got[0]["codes"]), np.int32), weights, got[0]["slope"], got[0]["shift"])
 
 
-def toxicity(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def toxicity(documents: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """``documents`` and ``score`` (0 to 1), one row for each row.
 
     Every text is read whole.  An empty or null text gets the score of a text
-    without any telling stretch.  A column named score is replaced.
+    without any telling stretch.  An input column named like ``score`` is replaced.
     """
     codes, slope, shift = model.codes, model.slope, model.shift
     at = np.flatnonzero(model.weights)
@@ -404,7 +404,7 @@ def toxicity(documents: DataFrame, model: Model, text: str = "text") -> DataFram
             held["model"] = Model(codes, weights, slope, shift)
         return [pa.array(score_texts(held["model"], texts), pa.float64())]
 
-    return append_columns(documents, text, [T.StructField("score", T.DoubleType())], kernel, 1 << 20)
+    return append_columns(documents, text, [T.StructField(score, T.DoubleType())], kernel, 1 << 20)
 
 
 def held_out(key: str = "doc_id") -> F.Column:
