@@ -29,8 +29,9 @@ FILTER_BITS = 1 << 22
 
 
 def lines_of(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line_no, line): lines between line feeds, from 0; blank ones have no row."""
-    rows = documents.select(quoted(key).alias("doc"), F.posexplode(F.split(quoted(text), "\n")).alias("line_no", "line"))
+    """(doc, content, line_no, line): lines between line feeds, from 0; blank ones have no row; content is the text's hash."""
+    content = F.xxhash64(quoted(text)).alias("content")
+    rows = documents.select(quoted(key).alias("doc"), content, F.posexplode(F.split(quoted(text), "\n")).alias("line_no", "line"))
     return rows.where(F.length(F.trim("line")) > 0)
 
 
@@ -79,6 +80,21 @@ def may_be_near(a: Column, b: Column, edits: int) -> Column:
     return total <= 2 * edits
 
 
+def count_keys(packed: Column, edits: int) -> Column:
+    """2 edits + 1 keys of a line's counts; lines within ``edits`` edits have one in common.
+
+    The 16 counts fall into so many groups, and edits change their sum by twice
+    their number at most, so one group stays as it is.
+    """
+    parts = min(16, 2 * edits + 1)
+    edges = [16 * k // parts for k in range(parts + 1)]
+    keys = []
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        own = F.shiftrightunsigned(packed, 4 * a).bitwiseAND(F.lit((1 << 4 * (b - a)) - 1)).cast("long")
+        keys.append(own.bitwiseOR(F.lit(k << 56).cast("long")))
+    return F.array(*keys)
+
+
 def entries(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
     """(entry, id, indexed): a hash of (length, segment, substring) for each of ``places`` in each line.
 
@@ -177,10 +193,11 @@ def within(state: Column, m: Column, n: Column, edits: int) -> Column:
 def alike(pairs: DataFrame, left: str, right: str, edits: int) -> DataFrame:
     """The rows of ``pairs`` whose two strings are within ``edits`` edits, without those strings.
 
-    The built-in distance with a limit passes on the few pairs worth walking
-    character by character.
+    The banded bit-parallel distance decides; lengths and counts of characters
+    only spare it pairs that they rule out.
     """
-    pairs = pairs.where(F.levenshtein(quoted(left), quoted(right), edits) >= 0)
+    pairs = pairs.where(F.abs(F.length(quoted(left)) - F.length(quoted(right))) <= edits)
+    pairs = pairs.where(may_be_near(counts(quoted(left)), counts(quoted(right)), edits))
     others = [quoted(c) for c in pairs.columns if c not in (left, right)]
     clean = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     core = trimmed(quoted(left), quoted(right))
@@ -243,7 +260,9 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     asking = asking.join(others, "other").withColumn("ordered", F.lit(False))
     equal = crowded.select("entry", F.col("id").alias("other"), F.col("counts").alias("other_counts"), F.lit(True).alias("ordered"))
     near = may_be_near(F.col("counts"), F.col("other_counts"), edits)
-    met = crowded.join(asking.unionByName(equal), "entry").where(near & F.expr("id < other or (not ordered and id > other)"))
+    crowded = crowded.withColumn("key", F.explode(count_keys(F.col("counts"), edits)))
+    asking = asking.unionByName(equal).withColumn("key", F.explode(count_keys(F.col("other_counts"), edits)))
+    met = crowded.join(asking, ["entry", "key"]).where(near & F.expr("id < other or (not ordered and id > other)"))
     pairs = checkpoint(pairs.union(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))).distinct())
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     texts = _held(lines.select(F.xxhash64("line").alias("id"), "line"), ids).distinct()
@@ -254,15 +273,18 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def line_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(key, n_lines, n_kept, n_links, dropped): one row for each key with lines that are not blank.
+    """(key, n_lines, n_kept, n_links, dropped): one row for each document with lines that are not blank.
 
     Lines are in one class if they are equal or linked, directly or through
     others; links need both lines to have ``least_chars`` characters.  A
     class keeps its first line, by key and then by line number; dropped lists
     the numbers of the others in the document.  n_links sums, over a
     document's lines, the different lines within ``edits`` edits.  Documents
-    without lines (null, empty or blank texts) have no row; rows that repeat
-    a key are one document each, told apart by their text.
+    without lines (null, empty or blank texts) have no row.  Rows that repeat
+    a key with another text are documents of their own, ordered by the text's
+    hash; rows equal in key and text are one document.  Lines and texts are
+    told apart by 64-bit hashes: of n different lines about n * n / 2^65 pairs
+    share one.
     """
     rows = documents.select(quoted(key).alias("__doc"), quoted(text).alias("__text"))
     found = lines_of(rows, "__doc", "__text")
@@ -271,17 +293,20 @@ def line_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", ed
     classes = components(links)
     degrees = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("links"))
     classes = classes.join(degrees, F.col("node") == F.col("id")).select("id", "component", "links")
-    placed = checkpoint(found.select("doc", "line_no", F.xxhash64("line").alias("id")))
-    firsts = placed.groupBy("id").agg(F.min(F.struct(F.col("doc").isNull().alias("missing"), "doc", "line_no")).alias("first"))
+    place = F.struct(F.col("doc").isNull().alias("missing"), "doc", "content", "line_no")
+    placed = checkpoint(found.select("doc", "content", "line_no", F.xxhash64("line").alias("id")))
+    firsts = placed.groupBy("id").agg(F.min(place).alias("first"))
     firsts = firsts.join(classes, "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     leads = firsts.groupBy("component").agg(F.min("first").alias("lead"))
     named = firsts.join(leads, "component").select("id", "links", "lead")
-    marked = placed.join(named, "id").withColumn(
-        "kept", F.struct(F.col("doc").isNull().alias("missing"), "doc", "line_no").eqNullSafe(F.col("lead"))
+    marked = placed.join(named, "id").withColumn("kept", place.eqNullSafe(F.col("lead")))
+    lines = F.collect_set(F.struct("line_no", "kept", F.col("links").cast("long").alias("links")))  # a repeated row adds none
+    own = marked.groupBy("doc", "content").agg(F.array_sort(lines).alias("lines"))
+    dropped = F.transform(F.filter("lines", lambda x: ~x["kept"]), lambda x: x["line_no"])
+    return own.select(
+        F.col("doc").alias(key),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.filter("lines", lambda x: x["kept"])).cast("long").alias("n_kept"),
+        F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["links"]).alias("n_links"),
+        F.array_join(dropped, ",").alias("dropped"),
     )
-    return marked.groupBy("doc").agg(
-        F.count("*").alias("n_lines"),
-        F.count_if("kept").alias("n_kept"),
-        F.sum("links").cast("long").alias("n_links"),
-        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("line_no")))), ",").alias("dropped"),
-    ).withColumnRenamed("doc", key)

@@ -224,6 +224,45 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, crowd):
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == plain_line_dedup(rows, 2, 10)
 
 
+def test_the_banded_distance_decides(spark):
+    draw = random.Random(13)
+    pairs = []
+    for _ in range(400):
+        a = "".join(draw.choice("abcé ") for _ in range(draw.randint(0, 60)))
+        b = list(a)
+        for _ in range(draw.randint(0, 4)):
+            at = draw.randrange(len(b) + 1)
+            b[at : at + draw.randint(0, 1)] = draw.choice(["", "x", "é"])
+        pairs.append((len(pairs), a, "".join(b)))
+    table = spark.createDataFrame(pairs, "n int, a string, b string")
+    for edits in (1, 2):
+        near = line_dedup.alike(table, "a", "b", edits)
+        assert "levenshtein" not in near._jdf.queryExecution().optimizedPlan().toString()
+        assert {r["n"] for r in near.collect()} == {n for n, a, b in pairs if edit_distance(a, b) <= edits}
+
+
+def test_near_lines_share_a_key_of_their_counts(spark):
+    draw = random.Random(14)
+    rows = []
+    for _ in range(300):
+        a = "".join(draw.choice(line_dedup.COUNTED) for _ in range(40))
+        b = list(a)
+        for _ in range(2):
+            at = draw.randrange(len(b))
+            b[at : at + draw.randint(0, 1)] = draw.choice(["", *line_dedup.COUNTED])
+        rows.append((a, "".join(b)))
+    keys = [line_dedup.count_keys(line_dedup.counts(F.col(c)), 2).alias(c) for c in "ab"]
+    assert all(set(r["a"]) & set(r["b"]) for r in spark.createDataFrame(rows, "a string, b string").select(*keys).collect())
+
+
+def test_lines_of_repeated_rows(spark):
+    line = "a line that is long enough to be here"
+    rows = [(1, line), (1, line), (1, f"{line}\nanother line"), (2, line)]
+    got = [tuple(r) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got)[2] == (2, 1, 0, 0, "0") and len(got) == 3
+    assert sum(r[2] for r in got) == 2 and {r[:2] for r in got} == {(1, 1), (1, 2), (2, 1)}
+
+
 def test_line_dedup_of_awkward_rows(awkward, empty):
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(awkward).collect()}
     assert 1 not in got and 2 not in got and got[3]["n_kept"] == 1
