@@ -9,9 +9,12 @@ landmarks folds into one weight per subsequence.  Scoring a text then is a
 table lookup per subsequence of a short span; the text's value is its best
 stretch of up to ``STRETCH`` characters, so any length of text is read whole.
 
-Labels are per document.  Every sentence of a clean document is a negative;
-in a toxic document the sentence with the best stretch is the positive, which
-is chosen again after each training round.
+Labels are per document, examples are sentences.  Every sentence of a clean
+document is a negative; in a toxic document the sentence with the best stretch
+is the positive, which is chosen again after each training round.  A sentence
+stands in the machine by its best stretch, at first by the stretch around its
+most telling word, in clean ones around any word.  Negatives beyond the first are those sentences that the
+last round left inside the margin, as the others add nothing to the loss.
 """
 
 from __future__ import annotations
@@ -33,15 +36,22 @@ from annotide.llm.common import append_columns, quoted, rows_about
 ORDER, SPAN, DECAY = 4, 7, 0.75
 #: Longest stretch that is scored as one, in characters.
 STRETCH = 20
-#: Letters with a code of their own; 1 stands for white space, 0 for all other characters.
-LETTERS = 46
-SIZE = LETTERS + 2
+#: Letters with a code of their own, and codes that all other letters, digits and signs of any script share by
+#: code point; 1 stands for white space, 0 for punctuation, which is skipped.
+LETTERS, SHARED = 40, 6
+SIZE = LETTERS + SHARED + 2
 LANDMARKS, ROUNDS, COST = 256, 4, 20.0
+#: Sentences of clean documents that the first round takes, and most that a later one adds (the worst ones).
+FIRST_NEGATIVES, MORE_NEGATIVES = 4000, 4000
 #: Lengths of the word pieces by which the first positives are found.
 PIECES = (5, 7)
 #: Labelled documents of each class that training takes at most.
 TRAIN_DOCUMENTS = 2000
-_SENTENCE = re.compile(r"[^.!?\n]+")
+#: A sentence ends at a line break, or after . ! or ? before white space (so i.d.i.o.t is in one).
+_END = re.compile(r"(?<=[.!?])\s+|\n")
+#: Ranges of code points read as punctuation beyond ASCII, and white space.
+PUNCTUATION = [(0x80, 0xA9), (0xAB, 0xB1), (0xB4, 0xB4), (0xB6, 0xB8), (0xBB, 0xBB), (0xBF, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x206F), (0x3000, 0x303F), (0xFE00, 0xFE0F), (0xFE30, 0xFE6F), (0xFF00, 0xFF0F)]
+WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
 def _offsets() -> list[tuple[tuple[int, ...], float]]:
@@ -60,7 +70,6 @@ def _offsets() -> list[tuple[tuple[int, ...], float]]:
 
 
 OFFSETS = _offsets()
-#: For scoring whole texts: the subsequences whose skipped characters are few or evenly spread.
 POWERS = SIZE ** np.arange(ORDER - 1, -1, -1)
 
 
@@ -76,11 +85,11 @@ class Model:
     def encode(self, text: str) -> np.ndarray:
         """Codes of the letters and of single boundaries between words.
 
-        Other characters are left out, and so are the boundaries in a run of
-        single letters: i.d.i.o.t and i d i o t read as one word.
+        Punctuation is left out, and so are the boundaries in a run of single
+        letters: i.d.i.o.t and i d i o t read as one word.
         """
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.codes[np.minimum(points, len(self.codes) - 1)]
+        codes = self.codes[points].astype(np.int32)
         codes = codes[codes > 0]
         codes = codes[(codes > 1) | (np.concatenate([[0], codes[:-1]]) != 1)]
         wide = np.concatenate([[1, 1], codes, [1, 1]])
@@ -107,7 +116,6 @@ def stretches(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     n = len(codes)
     gained = np.zeros(n, np.float32)
     codes = codes.astype(np.int32)
-    table = weights.reshape(SIZE, -1) if ORDER == 1 else weights
     heads: dict[tuple[int, ...], np.ndarray] = {}
     for back, weight in OFFSETS:
         if n <= back[0]:
@@ -118,7 +126,7 @@ def stretches(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
             parts = [codes[lead - d : n - d] for d in (*gap, 0)]
             heads[gap] = sum(p * np.int32(w) for p, w in zip(parts, POWERS[:-1], strict=True))
         head = heads[gap][: n - back[0]]
-        gained[back[0] :] += np.float32(weight) * table[head + codes[back[0] :]]
+        gained[back[0] :] += np.float32(weight) * weights[head + codes[back[0] :]]
     total = np.concatenate([[0.0], np.cumsum(gained, dtype=np.float64)])
     low, width = total.copy(), 1  # smallest running total of the last STRETCH positions
     while width < STRETCH:
@@ -128,47 +136,64 @@ def stretches(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return (total[1:] - low[:-1]).astype(np.float32)
 
 
-def best(codes: np.ndarray, weights: np.ndarray) -> tuple[float, int]:
-    if not len(codes):
-        return 0.0, 0
-    values = stretches(codes, weights)
-    at = int(values.argmax())
-    return float(values[at]), at
+def _joined(parts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Encoded strings in one array, so far apart that no stretch reaches two, and where each begins."""
+    gap = np.zeros(STRETCH + SPAN, np.int32)
+    sizes = np.array([len(p) + len(gap) for p in parts], np.int64)
+    return np.concatenate([x for p in parts for x in (p, gap)]), np.cumsum(sizes) - sizes
+
+
+def best_each(parts: Sequence[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each encoded string the value of its best stretch, and where that ends."""
+    tops, ends = np.zeros(len(parts)), np.zeros(len(parts), np.int64)
+    step = 1000
+    for a in range(0, len(parts), step):
+        joined, begins = _joined(parts[a : a + step])
+        values = stretches(joined, weights)
+        top = np.maximum.reduceat(values, begins)
+        owner = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(joined))))
+        at = np.flatnonzero(values == top[owner])
+        _, first = np.unique(owner[at], return_index=True)
+        tops[a : a + step], ends[a : a + step] = top, at[first] - begins
+    return tops, ends
 
 
 def score_texts(model: Model, texts: Sequence[str]) -> np.ndarray:
     """Scores of whole texts, 0 to 1."""
-    gap = np.zeros(STRETCH + SPAN, model.codes.dtype)
-    parts, begins, at = [], [], 0
-    for text in texts:
-        codes = model.encode(f" {text} ")
-        begins.append(at)
-        parts += [codes, gap]
-        at += len(codes) + len(gap)
-    if not parts:
+    if not len(texts):
         return np.zeros(0)
-    values = stretches(np.concatenate(parts), model.weights)
-    top = np.maximum.reduceat(values, begins).astype(np.float64)
+    joined, begins = _joined([model.encode(f" {t} ") for t in texts])
+    top = np.maximum.reduceat(stretches(joined, model.weights), begins).astype(np.float64)
     return 1 / (1 + np.exp(-(model.slope * top + model.shift)))
 
 
 # ---------------------------------------------------------------- training
 
 
+def code_table(letters: Sequence[int]) -> np.ndarray:
+    """The code of every code point: own ones for ``letters``, shared ones for all others but punctuation."""
+    points = np.arange(0x110000)
+    codes = (2 + LETTERS + points % SHARED).astype(np.uint8)
+    codes[:0x80] = [2 + LETTERS + p % SHARED if chr(p).isalnum() else 0 for p in range(0x80)]
+    for first, last in PUNCTUATION:
+        codes[first : last + 1] = 0
+    codes[WHITE] = 1
+    codes[list(letters)] = np.arange(2, 2 + len(letters))
+    return codes
+
+
 def _alphabet(texts: Sequence[str]) -> np.ndarray:
+    """The codes of the most frequent letters of ``texts``, in order of code point."""
     counts: Counter[str] = Counter()
     for text in texts:
         counts.update(text.lower())
-    letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if c.isalpha() and ord(c) < 0xFFFF][:LETTERS]
-    codes = np.zeros(0x10000, np.int32)
-    codes[[9, 10, 11, 12, 13, 32, 0xA0]] = 1
-    for k, c in enumerate(sorted(letters)):
-        codes[ord(c)] = k + 2
-    return codes
+    letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if c.isalpha()][:LETTERS]
+    return code_table(sorted(map(ord, letters)))
 
 
-def _sentences(text: str) -> list[str]:
-    return [s.strip() for s in _SENTENCE.findall(text) if s.strip()]
+def sentences(text: str) -> list[str]:
+    """The sentences of a text, blank ones left out."""
+    return [s for s in map(str.strip, _END.split(text)) if s]
 
 
 def _telling_words(documents: list[tuple[str, int]]) -> tuple[dict[int, list[str]], dict[str, str], Counter]:
@@ -209,10 +234,11 @@ def _grams(word: str, n: int) -> list[str]:
 class _Nystrom:
     """Kernel features of strings on landmarks: k(s, landmarks) times the root of the inverse Gram matrix."""
 
-    def __init__(self, model: Model, landmarks: list[str]):
-        self.model = model
-        found = [subsequences(model.encode(s)) for s in landmarks]
+    def __init__(self, landmarks: Sequence[np.ndarray]):
+        found = [subsequences(s) for s in landmarks]
         self.features = np.unique(np.concatenate([f for f, _ in found]))
+        self.place = np.full(SIZE**ORDER, -1, np.int32)
+        self.place[self.features] = np.arange(len(self.features))
         self.dense = np.zeros((len(self.features), len(landmarks)), np.float32)
         for k, (index, weight) in enumerate(found):
             np.add.at(self.dense[:, k], np.searchsorted(self.features, index), weight)
@@ -222,15 +248,28 @@ class _Nystrom:
         keep = values > 1e-3 * values.max()
         self.root = vectors[:, keep] / np.sqrt(values[keep])
 
-    def __call__(self, strings: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(strings), self.root.shape[1]))
-        for k, s in enumerate(strings):
-            index, weight = subsequences(self.model.encode(s))
-            at = np.minimum(np.searchsorted(self.features, index), len(self.features) - 1)
-            sure = self.features[at] == index
-            if sure.any():
-                out[k] = (weight[sure] @ self.dense[at[sure]]).astype(np.float64) @ self.root
-        return out
+    def __call__(self, strings: Sequence[np.ndarray]) -> np.ndarray:
+        """Features of encoded strings, block by block."""
+        if not len(strings):
+            return np.zeros((0, self.root.shape[1]))
+        out = np.zeros((len(strings), self.dense.shape[1]), np.float32)
+        for a in range(0, len(strings), 128):
+            part = strings[a : a + 128]
+            codes = np.zeros((len(part), max(map(len, part)) + SPAN), np.int64)
+            for k, own in enumerate(part):
+                codes[k, : len(own)] = own
+            n = codes.shape[1]
+            for back, weight in OFFSETS:
+                if n <= back[0]:
+                    continue
+                parts = [codes[:, back[0] - d : n - d] for d in (*back, 0)]
+                whole = np.logical_and.reduce([p > 0 for p in parts])
+                at = self.place[sum(p * int(w) for p, w in zip(parts, POWERS, strict=True))]
+                row, column = np.nonzero(whole & (at >= 0))
+                if len(row):
+                    rows, first = np.unique(row, return_index=True)
+                    out[a + rows] += np.float32(weight) * np.add.reduceat(self.dense[at[row, column]], first, axis=0)
+        return out.astype(np.float64) @ self.root
 
     def folded(self, w: np.ndarray) -> np.ndarray:
         """The weight of each subsequence in the learnt function."""
@@ -281,7 +320,6 @@ def train(documents: list[tuple[str, int]], seed: int = 7) -> Model:
     draw = np.random.Generator(np.random.PCG64(seed))
     told, pieces, clean = _telling_words(documents)
     common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
-    plain = common[:400] + [common[i] for i in sorted(draw.choice(len(common), min(3000, len(common)), replace=False))]
     insults = Counter(w for ws in told.values() for w in ws)
     telling = [w for w, _ in sorted(insults.items(), key=lambda x: (-x[1], x[0]))]
     alike: dict[str, list[str]] = {}
@@ -289,8 +327,33 @@ def train(documents: list[tuple[str, int]], seed: int = 7) -> Model:
         alike.setdefault(pieces[w], []).append(w)
     groups = sorted(alike.values(), key=lambda ws: (-sum(insults[w] for w in ws), ws[0]))
     spread = [ws[k] for k in range(12) for ws in groups if k < len(ws)]
-    landmarks = [f" {w} " for w in dict.fromkeys([*spread[: LANDMARKS * 3 // 4], *common[: LANDMARKS // 8], *plain[-LANDMARKS // 8 :]])]
-    nystrom = _Nystrom(model, landmarks)
+    others = [common[i] for i in sorted(draw.choice(len(common), min(LANDMARKS // 8, len(common)), replace=False))]
+    encoded = lambda words: [model.encode(f" {w} ") for w in words]
+    nystrom = _Nystrom(encoded(dict.fromkeys([*spread[: LANDMARKS * 3 // 4], *common[: LANDMARKS // 8], *others])))
+
+    own = [sentences(t) for t, _ in documents]  # the examples: (document, sentence)
+    doc_of = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    flat = [s for x in own for s in x]
+    codes = encoded(flat)
+    clean_ones = np.flatnonzero(labels[doc_of] == 0) if len(flat) else np.zeros(0, np.int64)
+
+    def around(sentence: str, words: Sequence[str]) -> np.ndarray | None:
+        """The stretch of the sentence around the first of ``words`` in it."""
+        low = sentence.lower()
+        hit = next((m for w in words if (m := re.search(rf"(?<![^\W\d_]){re.escape(w)}(?![^\W\d_])", low))), None)
+        return model.encode(f" {low[hit.start() : hit.end()]} ") if hit else None
+
+    positives: dict[int, list[np.ndarray]] = {}
+    for k, words in told.items():
+        for w in words:
+            found = next((x for s in own[k] if w in s.lower() and (x := around(s, [w])) is not None), None)
+            if found is not None:
+                positives.setdefault(k, []).append(found)
+    chosen = np.sort(draw.choice(clean_ones, min(FIRST_NEGATIVES, len(clean_ones)), replace=False)) if len(clean_ones) else clean_ones
+    negatives = []
+    for k in chosen.tolist():
+        words = sorted(set(re.findall(r"[^\W\d_]{2,}", flat[k].lower())))
+        negatives.append(around(flat[k], [words[int(draw.integers(len(words)))]]) if words else codes[k][:STRETCH])
 
     def spaced(words: list[str]) -> list[str]:
         """Words with one more letter or boundary among theirs, as insults are hidden."""
@@ -298,42 +361,41 @@ def train(documents: list[tuple[str, int]], seed: int = 7) -> Model:
         for k, w in enumerate(words):
             if 4 <= len(w) <= 12:
                 at = 2 + k % (len(w) - 3)
-                out += [f" {w[:at]}{w[at - 1]}{w[at:]} ", f" {w[:at]} {w[at:]} ", f" {w[:at]}x{w[at:]} "]
+                out += [f"{w[:at]}{w[at - 1]}{w[at:]}", f"{w[:at]} {w[at:]}", f"{w[:at]}x{w[at:]}"]
         return out
 
-    encoded = [model.encode(f" {t} ") for t, _ in documents]
-    letters = {int(c): chr(p) for p, c in enumerate(codes) if c > 1}
     frequent = [w for w in telling if insults[w] >= max(3, len(told) // 200)][:60]
-    positives = {k: [f" {w} " for w in ws] for k, ws in told.items()}
-    negatives = [f" {w} " for w in plain]
-    x_negative = nystrom(negatives)
-    values = np.zeros(len(documents))
+    x_hidden = nystrom(encoded(spaced(frequent)))
+    x_negative = nystrom([*negatives, *encoded(common[:400])])
+    seen = {x.tobytes() for x in negatives}
     for _ in range(ROUNDS):
-        chosen = [s for k in sorted(positives) for s in positives[k]]
-        even = (len(negatives) / max(1, len(positives))) ** 0.5
+        if not positives:
+            break
+        held = [x for k in sorted(positives) for x in positives[k]]
+        even = (len(x_negative) / len(positives)) ** 0.5
         weight = [even / len(positives[k]) for k in sorted(positives) for _ in positives[k]]
-        hidden = spaced(frequent)
-        x = np.vstack([nystrom(chosen), nystrom(hidden), x_negative]) if chosen else x_negative
-        y = np.r_[np.ones(len(chosen) + len(hidden)), -np.ones(len(negatives))] if chosen else -np.ones(len(negatives))
-        cost = np.r_[np.array(weight), np.full(len(hidden), even / 2), np.full(len(negatives), 1.0)] if chosen else np.ones(len(negatives))
-        w, _bias = _svm(x, y, COST * cost)
+        x = np.vstack([nystrom(held), x_hidden, x_negative])
+        y = np.r_[np.ones(len(held) + len(x_hidden)), -np.ones(len(x_negative))]
+        cost = np.r_[np.array(weight), np.full(len(x_hidden), even / 2), np.ones(len(x_negative))]
+        w, bias = _svm(x, y, COST * cost)
         model.weights = nystrom.folded(w)
+        tops, ends = best_each(codes, model.weights)
+        piece = lambda i: codes[i][max(0, int(ends[i]) - STRETCH + 1) : int(ends[i]) + 1]
+        order = np.lexsort((np.arange(len(tops)), -tops, doc_of))
+        for i in order[np.unique(doc_of[order], return_index=True)[1]].tolist():
+            if doc_of[i] in positives and len(piece(i)):
+                positives[int(doc_of[i])] = [piece(i)]
+        worst = clean_ones[tops[clean_ones] + bias > -1]
         fresh = []
-        for k, own in enumerate(encoded):
-            values[k], at = best(own, model.weights)
-            begin = max(0, at - STRETCH + 1)
-            piece = "".join(letters.get(int(c), " ") for c in own[begin : at + 1])
-            if labels[k]:
-                if k in positives and piece.strip():
-                    positives[k] = [piece]
-            elif piece.strip():
-                fresh.append(piece)
-        new = sorted(set(fresh) - set(negatives))[:3000]
-        if new:
-            negatives += new
-            x_negative = np.vstack([x_negative, nystrom(new)])
-        if not positives:
-            break
+        for i in worst[np.argsort(-tops[worst], kind="stable")].tolist():
+            if piece(i).tobytes() not in seen:
+                seen.add(piece(i).tobytes())
+                fresh.append(piece(i))
+                if len(fresh) == MORE_NEGATIVES:
+                    break
+        if fresh:
+            x_negative = np.vstack([x_negative, nystrom(fresh)])
+    values = np.concatenate([best_each([model.encode(f" {t} ")], model.weights)[0] for t, _ in documents])
     model.slope, model.shift = _calibration(values, labels)
     return model
 
@@ -358,7 +420,10 @@ def labelled(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMEN
     for toxic, rows in sorted(counts.items()):
         part = rows_about(known.where(F.col("toxic") == toxic), F.col("doc_id"), limit, rows)
         picked = part if picked is None else picked.unionByName(part)
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id") if picked is not None else None  # bounded by limit
+    if picked is None:
+        return None
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by limit
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")  # one text for a repeated id
 
 
 def _in_order(table: pa.Table) -> list[tuple[str, int]]:
@@ -383,7 +448,7 @@ def trained(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENT
         return train([])
     weights = np.zeros(SIZE**ORDER, np.float32)
     weights[np.frombuffer(bytes(got[0]["at"]), np.int64)] = np.frombuffer(bytes(got[0]["weights"]), np.float32)
-    return Model(np.frombuffer(bytes(got[0]["codes"]), np.int32), weights, got[0]["slope"], got[0]["shift"])
+    return Model(np.frombuffer(bytes(got[0]["codes"]), np.uint8), weights, got[0]["slope"], got[0]["shift"])
 
 
 def toxicity(documents: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:

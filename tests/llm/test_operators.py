@@ -564,6 +564,62 @@ def test_subsequence_weights_equal_the_kernel():
         assert table[at] == pytest.approx(value, rel=1e-5)
 
 
+def plain_kernel(a, b):
+    """Common subsequences of two encoded strings, weighted by the decay of both, by listing them all."""
+    import itertools
+
+    def listed(codes):
+        out = defaultdict(float)
+        for places in itertools.combinations(range(len(codes)), toxicity.ORDER):
+            if places[-1] - places[0] < toxicity.SPAN and all(codes[p] for p in places):
+                out[tuple(int(codes[p]) for p in places)] += toxicity.DECAY ** (places[-1] - places[0] - toxicity.ORDER + 1)
+        return out
+
+    x, y = listed(a), listed(b)
+    return sum(v * y.get(k, 0.0) for k, v in x.items())
+
+
+def test_machine_equals_a_plain_one_on_the_kernel():
+    draw = random.Random(6)
+    model = toxicity.Model(toxicity._alphabet(["abcdefgh"]), None, 1.0, 0.0)
+    words = ["".join(draw.choice("abcd") for _ in range(draw.randint(5, 9))) for _ in range(40)]
+    codes = [model.encode(f" {w} ") for w in words]
+    nystrom = toxicity._Nystrom(codes)
+    x = nystrom(codes)
+    size = [plain_kernel(c, c) ** 0.5 for c in codes]
+    for i in range(0, 40, 3):  # with every string a landmark, features give the kernel itself
+        for j in range(0, 40, 7):
+            assert x[i] @ x[j] == pytest.approx(plain_kernel(codes[i], codes[j]), rel=0.05, abs=0.02 * size[i] * size[j])
+    y = np.array([1.0 if "ab" in w else -1.0 for w in words])
+    cost = np.full(len(y), 5.0)
+    w, bias = toxicity._svm(x, y, cost)
+    loss = lambda w, b: w @ w + 5e0 * (np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum()
+    v, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(20000):  # plain gradient descent on the same loss
+        slack = np.maximum(0, 1 - y * (x @ v + b))
+        v, b = v - 2e-4 * (2 * v - 10 * x.T @ (y * slack)), b + 2e-4 * 10 * (y * slack).sum()
+    assert loss(w, bias) <= loss(v, b) * 1.001 + 1e-6
+    assert np.abs((x @ w + bias) - (x @ v + b)).max() < 0.1
+    folded = nystrom.folded(w)
+    for k, c in enumerate(codes):  # the table gives the value of a whole string, and best stretches reach it
+        index, weight = toxicity.subsequences(c)
+        assert float((folded[index] * weight).sum()) == pytest.approx(float(x[k] @ w), rel=1e-3, abs=1e-3)
+        tops, ends = toxicity.best_each([c], folded)
+        gains = np.array([sum(float(folded[i]) * v for i, v in zip(*toxicity.subsequences(c[: p + 1]), strict=True)) for p in range(len(c))])
+        gains = np.diff(gains, prepend=0.0)  # what ends at each place
+        assert tops[0] == pytest.approx(max(gains[a : b + 1].sum() for a in range(len(c)) for b in range(max(a, 0), len(c))), rel=1e-3, abs=1e-3)
+
+
+def test_no_script_is_left_out_of_scoring():
+    model = toxicity.Model(toxicity._alphabet(["plain latin text only"] * 5), None, 1.0, 0.0)
+    for text in ("идиот", "1d10t", "ηλίθιος", "愚か者ばか", "\U0001f595\U0001f595\U0001f595", "ﬀ①²"):
+        codes = model.encode(text)
+        assert len(codes) == len(text.lower()) and (codes > 1).all()
+    assert model.encode("...!?—«»").tolist() == []
+    assert toxicity.sentences("One i.d.i.o.t here. Two!  Three?\nfour\n\n") == ["One i.d.i.o.t here.", "Two!", "Three?", "four"]
+    assert toxicity.sentences("") == []
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, empty):
     model = toxicity.train([("a fine day", 0), ("you scoundrel you", 1)] * 4)
     rows = toxicity.toxicity(awkward, model).collect()
