@@ -89,6 +89,20 @@ def scrambled(node: Column) -> Column:
     return node
 
 
+def joined_once(links: DataFrame) -> DataFrame:
+    """(node, label): every linked node of ``links(a, b)`` and its first neighbour's first neighbour, in a scrambled order.
+
+    One round of ``components``: nodes of one label are in one component, but
+    not the other way round.  A dense group has few labels left.
+    """
+    pairs = links.select("a", "b").where("a <> b")
+    own, other = (F.struct(scrambled(F.col(c)).alias("order"), F.col(c).alias("node")) for c in "ab")
+    both = pairs.select(own.alias("x"), other.alias("y")).union(pairs.select(other.alias("x"), own.alias("y")))
+    near = both.groupBy("x").agg(F.least("x", F.min("y")).alias("low"))
+    ahead = near.select("x.order", F.col("low.node").alias("label"))
+    return near.select("x.node", "low.order").join(ahead, "order").select("node", "label")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: one row (node, component) per linked node.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annotide.llm.common import TOKEN_BYTES, append_columns, checkpoint, components, joined_words, maybe_in, mixed, quoted
+from annotide.llm.common import TOKEN_BYTES, append_columns, checkpoint, components, joined_once, joined_words, maybe_in, mixed, quoted
 
 #: Runs up to this length are compared offset by offset and report all links.
 SHORT_RUN = 64
@@ -333,12 +333,12 @@ def simhash_groups(
 #: share the smallest shingles by BAND_ROWS random orders in one of BANDS bands.
 #: The chance of that depends on the similarity s alone, wherever the texts
 #: differ: 1 - (1 - s^6)^24, 0.9993 at 0.8.  Every link is verified by the
-#: exact sets.  Bands are taken in SWEEPS: groups found in one sweep are one
-#: label in the next, which compares different labels only.
+#: exact sets.  Bands are taken in two SWEEPS: most of a group that the first one
+#: finds is one label in the second, which compares different labels only.
 SHINGLE = 5
 ALIKE = (4, 5)
 BANDS, BAND_ROWS = 24, 6
-SWEEPS = ((0, 2), (2, 8), (8, 24))
+SWEEPS = ((0, 4), (4, 24))
 #: Shingles that one task compares at once (about); places with more are cut into cells.
 CELL_SHINGLES = 1 << 18
 
@@ -429,6 +429,11 @@ def places(nodes: DataFrame, labels: DataFrame | None, low: int, high: int) -> D
     return rows.join(several.where("low <> high").select("place", "weight"), "place").select("place", "node", "label", "size", "weight")
 
 
+def heavy() -> Column:
+    """Whether a place is cut into cells."""
+    return F.col("weight") > CELL_SHINGLES
+
+
 def cells(members: DataFrame) -> DataFrame:
     """(cell, node, label, side): each place of ``places`` as one cell, or cut by a hash into cells of bounded weight."""
     parts = F.ceil(F.col("weight") / CELL_SHINGLES).cast("long")
@@ -443,7 +448,7 @@ def crossed_cells(members: DataFrame) -> DataFrame:
     place; those (side 1) meet each part of the place (side 0) in a cell of its
     own.  A group that its cells have joined has none.
     """
-    many = members.where(F.col("weight") > CELL_SHINGLES)
+    many = members.where(heavy())
     held = many.groupBy("place", "label").agg(F.sum("size").alias("held"))
     top = held.groupBy("place").agg(F.max(F.struct("held", "label")).alias("top"), F.sum("held").alias("weight"))
     top = top.select("place", F.col("top.label").alias("most"), "weight", (F.col("weight") - F.col("top.held")).alias("rest")).where("rest > 0")
@@ -481,32 +486,27 @@ def content_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
     order = F.struct(F.col("__key").isNull().alias("missing"), F.col("__key").alias("key"), F.col("content").alias("content"))
     nodes = checkpoint(signed.groupBy("node").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
 
-    def linked(found: DataFrame, labels: DataFrame | None) -> DataFrame | None:
-        """``labels`` after the links between the texts that meet in the cells of ``found``."""
-        found = checkpoint(found)
+    def linked(found: DataFrame) -> DataFrame:
+        """Links between the labels of the texts that meet in the cells of ``found``."""
         wanted = checkpoint(found.select("node").distinct().join(nodes, "node").select("node", F.col("first.content").alias("content")))
         here = maybe_in(rows.select("content", "__text"), "content", wanted.select("content"))
         # one text for each hash, so that copies are never fetched one by one
         texts = here.groupBy("content").agg(F.first("__text").alias("text")).join(wanted, "content").select("node", "text")
-        links = checkpoint(alike_links(found.join(texts, "node").select("cell", "node", "label", "side", "text")))
-        if links.isEmpty():
-            return labels
-        later = components(links).select(F.col("node").alias("label"), F.col("component").alias("further"))
-        if labels is None:
-            return later.select(F.col("label").alias("node"), F.col("further").alias("label"))
-        moved = labels.join(later, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
-        fresh = later.join(labels, F.col("node") == later["label"], "left_anti").select(F.col("label").alias("node"), F.col("further").alias("label"))
-        return checkpoint(moved.unionByName(fresh))
-
-    labels = None
-    for low, high in SWEEPS:
-        labels = linked(cells(places(nodes, labels, low, high)), labels)
-        rest = checkpoint(crossed_cells(places(nodes, labels, low, high)))
-        if not rest.isEmpty():
-            labels = linked(rest, labels)
-    grouped = nodes.select("node", "first").withColumn("root", F.col("node"))
-    if labels is not None:
-        grouped = nodes.select("node", "first").join(labels, "node", "left").select("first", F.coalesce("label", "node").alias("root"))
+        return checkpoint(alike_links(found.join(texts, "node").select("cell", "node", "label", "side", "text")))
+
+    first = checkpoint(places(nodes, None, *SWEEPS[0]))
+    links = linked(cells(first))
+    labels = checkpoint(joined_once(links))
+    links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    second = checkpoint(places(nodes, labels, *SWEEPS[1]))
+    links = links.unionByName(linked(cells(second)))
+    cut = first.where(heavy()).unionByName(second.where(heavy())).drop("label")
+    if not cut.isEmpty():
+        labels = checkpoint(joined_once(links))
+        cut = cut.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        links = links.unionByName(linked(checkpoint(crossed_cells(cut))))
+    found = components(links)
+    grouped = nodes.select("node", "first").join(found, "node", "left").select("first", F.coalesce("component", "node").alias("root"))
     leaders = grouped.groupBy("root").agg(F.min("first").alias("first")).select(
         F.col("first.key").alias("__lead"), F.col("first.content").alias("content"), F.lit(True).alias("keep")
     )

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from annotide.llm import decontamination, licences, line_dedup, mixing, neighbours, queries, sharding, simhash, tokens, toxicity, url_filters
-from annotide.llm.common import components
+from annotide.llm.common import components, joined_once
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, shard string, leaks string, size string"
@@ -771,6 +771,17 @@ def test_components_of_a_chain_and_of_nothing(spark):
     assert components(chain.limit(0)).count() == 0
 
 
+def test_joined_once_stays_within_components(spark):
+    draw = random.Random(3)
+    pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(1000 + a, 1000 + b) for a in range(12) for b in range(a)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    whole = {r["node"]: r["component"] for r in components(links).collect()}
+    got = {r["node"]: r["label"] for r in joined_once(links).collect()}
+    assert set(got) == set(whole) and all(whole[n] == whole[x] for n, x in got.items())
+    assert len({got[1000 + a] for a in range(12)}) == 1
+    assert joined_once(links.limit(0)).count() == 0
+
+
 def test_content_groups_keep_one_of_near_copies(spark):
     draw = random.Random(12)
     words = [f"w{k}" for k in range(5000)]
