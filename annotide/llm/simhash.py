@@ -523,20 +523,23 @@ def without_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str
     columns come first as JSON stays; rows equal in that too are
     interchangeable.
     """
-    groups = content_groups(documents, key, text).where("keep").groupBy(quoted(key).alias("__lead"), F.col("content").alias("__content"))
-    leaders = checkpoint(groups.agg(F.count("*").alias("__rows")))
-    rows = documents.withColumn("__content", F.xxhash64(quoted(text)))
+    named = {c: f"__own{k}" for k, c in enumerate(documents.columns)}  # no column can clash
+    key, text = named[key], named[text]
+    own = documents.select(*[quoted(c).alias(n) for c, n in named.items()])
+    groups = content_groups(own, key, text).where("keep").groupBy(F.col(key).alias("lead"), "content")
+    leaders = checkpoint(groups.agg(F.count("*").alias("rows")))
+    rows = own.withColumn("content", F.xxhash64(text))
 
     def led(rows: DataFrame, leaders: DataFrame) -> DataFrame:
         d, g = rows.alias("d"), leaders.alias("g")
-        return d.join(g, F.col(f"d.`{key}`").eqNullSafe(F.col("g.__lead")) & (F.col("d.__content") == F.col("g.__content")), "left_semi")
+        return d.join(g, F.col(f"d.{key}").eqNullSafe(F.col("g.lead")) & (F.col("d.content") == F.col("g.content")), "left_semi")
 
-    kept = led(rows, leaders.where("__rows = 1")).select(*map(quoted, documents.columns))
-    several = checkpoint(leaders.where("__rows > 1"))
+    kept = led(rows, leaders.where("rows = 1")).select(*[F.col(n).alias(c) for c, n in named.items()])
+    several = checkpoint(leaders.where("rows > 1"))
     if several.isEmpty():
         return kept
-    others = [c for c in documents.columns if c not in (key, text)]
-    rank = F.to_json(F.struct(*map(quoted, others))) if others else F.lit("")
-    repeated = led(maybe_in(rows, "__content", several.select("__content")), several).groupBy(quoted(key), "__content")
-    repeated = repeated.agg(F.min_by(F.struct(*map(quoted, documents.columns)), rank).alias("row"))
-    return kept.unionByName(repeated.select(*[F.col("row").getField(c).alias(c) for c in documents.columns]))
+    others = [n for n in named.values() if n not in (key, text)]
+    rank = F.to_json(F.struct(*others)) if others else F.lit("")
+    repeated = led(maybe_in(rows, "content", several.select("content")), several).groupBy(key, "content")
+    repeated = repeated.agg(F.min_by(F.struct(*named.values()), rank).alias("row"))
+    return kept.unionByName(repeated.select(*[F.col("row").getField(n).alias(c) for c, n in named.items()]))
