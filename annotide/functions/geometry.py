@@ -26,6 +26,43 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def mask_iou(a: Column, b: Column, eps: float = 1e-7) -> Column:
+    """Common by joint size of two flat 0/1 masks."""
+    size = lambda m: F.aggregate(m, F.lit(0.0), lambda s, v: s + v)
+    common = dot(a, b)
+    return common / (size(a) + size(b) - common + eps)
+
+
+def structural_similarity(a: Column, b: Column, span: float = 1.0) -> Column:
+    """SSIM over one window: the whole of two equally long arrays of values that span ``span``."""
+    n = F.size(a)
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
+    spread = lambda x, y: dot(x, y) / n - mean(x) * mean(y)
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
+    light = (2 * mean(a) * mean(b) + c1) / (mean(a) * mean(a) + mean(b) * mean(b) + c1)
+    return light * (2 * spread(a, b) + c2) / (spread(a, a) + spread(b, b) + c2)
+
+
+def best_class(scores: Column) -> Column:
+    """The class of the largest score and that score, as struct cls, conf; the first of equal ones."""
+    top = F.array_max(scores)
+    return F.struct((F.array_position(scores, top) - 1).cast("int").alias("cls"), top.cast("double").alias("conf"))
+
+
+def surface_normal(a: Column, b: Column, c: Column, d: Column, resolution: float) -> Column:
+    """The unit normal x, y, z of a 2 x 2 cell of heights (a b above c d)."""
+    dx, dy = ((b + d) - (a + c)) / (2 * resolution), ((c + d) - (a + b)) / (2 * resolution)
+    size = F.sqrt(dx * dx + dy * dy + 1.0)
+    return F.array(-dx / size, -dy / size, 1.0 / size)
+
+
+def lambert(normal: Column, azimuth: float, elevation: float) -> Column:
+    """Brightness of a surface under light from an azimuth and an elevation in degrees; 0 in the shade."""
+    a, e = math.radians(azimuth), math.radians(elevation)
+    light = (math.cos(e) * math.sin(a), math.cos(e) * math.cos(a), math.sin(e))
+    return F.greatest(F.lit(0.0), sum((F.get(normal, k) * v for k, v in enumerate(light)), F.lit(0.0)))
+
+
 def luminance(r: Column, g: Column, b: Column) -> Column:
     """Relative luminance of 8-bit channels."""
     linear = lambda c: F.when(c / 255 <= 0.03928, c / 255 / 12.92).otherwise(F.pow((c / 255 + 0.055) / 1.055, 2.4))

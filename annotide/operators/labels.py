@@ -78,9 +78,35 @@ def class_ids(names: DataFrame, column: str = "name") -> DataFrame:
     return names.select(column).distinct().withColumn("cls", (F.row_number().over(Window.orderBy(column)) - 1))
 
 
+def with_second_above(df: DataFrame, least: float = 1.0, line: str = "line") -> DataFrame:
+    """Lines whose second token is above ``least``: it counts attributes there, and is a coordinate elsewhere."""
+    return df.where(F.get(F.split(F.trim(F.col(line)), r"\s+"), 1).cast("double") > least)
+
+
+def centres_inside(df: DataFrame, most: float = 1.0) -> DataFrame:
+    """Rows whose centre is inside the frame, classes moved up by one."""
+    return shift_class(df.where((F.col("cx") <= most) & (F.col("cy") <= most)), 1)
+
+
+def without_confidence(df: DataFrame, column: str = "conf") -> DataFrame:
+    return df.drop(column)
+
+
+def with_confidence(df: DataFrame, value: float = 1.0, column: str = "conf") -> DataFrame:
+    return df.withColumn(column, F.lit(value))
+
+
 # attributes
 
 
+def without_negative(df: DataFrame) -> DataFrame:
+    """Attributes that are negative in any row are dropped from all rows."""
+    size = df.select(F.max(F.size("atts")).alias("n")).first()["n"] or 0
+    lows = df.select(F.posexplode("atts").alias("i", "v")).groupBy("i").agg(F.min("v").alias("low"))
+    gone = sorted(r["i"] for r in lows.where("low < 0").collect())  # a number for each attribute at most
+    return df.withColumn("atts", F.filter("atts", lambda _, i: ~i.isin(gone))) if gone and size else df
+
+
 def zero_attributes(df: DataFrame, cls: int, count: int) -> DataFrame:
     return df.withColumn("atts", F.when(F.col("cls") == cls, F.array_repeat(F.lit(0), count)).otherwise(F.col("atts")))
 

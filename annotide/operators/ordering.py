@@ -6,19 +6,23 @@ before, and the place in the bucket: no window spans the whole table.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of the sort key.
-BUCKETS = 64
+#: Least and most buckets of the sort key, and rows that one bucket should hold at most.
+BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 64, 1024, 4_000_000
 
 
-def numbered(df: DataFrame, key: str, name: str = "place", buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with each row's place (from 0) in the order of a unique numeric column, nulls first.
+def numbered(df: DataFrame, key: str, name: str = "place", buckets: int | None = None, then: Sequence[str] = ()) -> DataFrame:
+    """``df`` with each row's place (from 0) in the order of a numeric column, nulls first, equal ones by ``then``.
 
-    Cuts between buckets come from approximate quantiles; any cuts give the
-    same places, good ones even work.
+    key and ``then`` must tell rows apart.  Cuts between buckets come from
+    approximate quantiles; any cuts give the same places, good ones even work.
     """
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, max(BUCKETS, df.count() // BUCKET_ROWS))
     cuts = sorted(set(df.approxQuantile(key, [k / buckets for k in range(1, buckets)], 0.005)))
     edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(edges, lambda c: c < F.col(key).cast("double"))))
@@ -26,7 +30,7 @@ def numbered(df: DataFrame, key: str, name: str = "place", buckets: int = BUCKET
     counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__bucket", before.alias("__before"))  # a row a bucket
-    own = F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) - 1
+    own = F.row_number().over(Window.partitionBy("__bucket").orderBy(key, *then)) - 1
     return rows.withColumn("__own", own).join(F.broadcast(offsets), "__bucket").withColumn(name, F.col("__before") + F.col("__own")).drop("__bucket", "__own", "__before")
 
 
@@ -112,6 +116,19 @@ def sample_distinct(df: DataFrame, keys: list[str], order: list[Column], n: int,
     return first_per_group(df, keys, order).orderBy(hash_order(F.concat_ws("\u0001", *keys), seed), *keys).limit(n)
 
 
+def shown_subset(images: DataFrame, boxes: DataFrame, key: str, box: str, n_images: int, n_boxes: int, seed: int = 0) -> DataFrame:
+    """At most ``n_boxes`` boxes of each of ``n_images`` images, both by seeded orders."""
+    few = images.orderBy(hash_order(F.col(key), seed), key).limit(n_images).select(key)
+    return first_per_group(boxes.join(F.broadcast(few), key), [key], [hash_order(F.col(box), seed), F.col(box)], n_boxes)
+
+
+def weighted_choice(df: DataFrame, key: str, weight: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows without replacement, each drawn by its weight: the smallest -log(u) / weight of a seeded u."""
+    u = (F.pmod(hash_order(F.col(key), seed), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    rows = df.where(F.col(weight) > 0).withColumn("__draw", -F.log(u) / F.col(weight))
+    return rows.orderBy("__draw", key).limit(n).drop("__draw")
+
+
 def runs(df: DataFrame, group: list[str], order: list[Column], breaks: Column, name: str = "run") -> DataFrame:
     """Numbers the runs of rows in each group; a row where ``breaks`` holds opens one."""
     window = Window.partitionBy(*group).orderBy(*order)

@@ -48,16 +48,17 @@ def suppressed(df: DataFrame, least: float = 0.5, metric: str = "iou", per_class
 
 
 def merged_by_score(df: DataFrame, least: float = 0.5, mode: str = "intersection", per_class: bool = True) -> DataFrame:
-    """Boxes taken by falling score; those whose common part is ``least`` of their own area join the taken box.
+    """Boxes taken by falling score; those whose common part is more than ``least`` of their own area join the taken box.
 
-    ``mode`` keeps the common part or the envelope.  The result has the
-    taken box's other columns.
+    Width and height count both edge pixels, one more than the difference.
+    ``mode`` keeps the common part or the envelope.  The result has the taken
+    box's other columns.
     """
 
     def one(group: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         order = np.argsort(-group["conf"], kind="stable")
         box = _box(group)[order]
-        own = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+        own = (box[:, 2] - box[:, 0] + 1) * (box[:, 3] - box[:, 1] + 1)
         free = np.ones(len(box), bool)
         taken, shapes = [], []
         for k in range(len(box)):
@@ -66,9 +67,9 @@ def merged_by_score(df: DataFrame, least: float = 0.5, mode: str = "intersection
             free[k] = False
             now = box[k].copy()
             for j in np.flatnonzero(free):
-                w = min(now[2], box[j, 2]) - max(now[0], box[j, 0])
-                h = min(now[3], box[j, 3]) - max(now[1], box[j, 1])
-                if w > 0 and h > 0 and own[j] > 0 and w * h / own[j] >= least:
+                w = max(0.0, min(now[2], box[j, 2]) - max(now[0], box[j, 0]) + 1)
+                h = max(0.0, min(now[3], box[j, 3]) - max(now[1], box[j, 1]) + 1)
+                if own[j] > 0 and w * h / own[j] > least:
                     free[j] = False
                     outer, inner = (np.maximum, np.minimum) if mode == "intersection" else (np.minimum, np.maximum)
                     now = np.r_[outer(now[:2], box[j, :2]), inner(now[2:], box[j, 2:])]

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annotide.functions import boxes, geometry
+from annotide.functions import boxes, geometry, polygons, text
 from annotide.operators import joins, labels
 
 
@@ -106,9 +106,12 @@ def same_origin_pairs(df: DataFrame, keys: list[str], dataset: str, name: str) -
 
 
 def tiles(width: int, height: int, tile_w: int, tile_h: int, overlap: float) -> list[tuple[int, int, int, int]]:
-    """Corners of the tiles that cover a frame; those beyond the border are moved inward."""
+    """Corners of the tiles that cover a frame; those beyond the border are moved inward.
+
+    Neighbours share the whole pixels of ``overlap`` times the tile's extent.
+    """
     out = []
-    step_w, step_h = max(1, int(tile_w * (1 - overlap))), max(1, int(tile_h * (1 - overlap)))
+    step_w, step_h = max(1, tile_w - int(tile_w * overlap)), max(1, tile_h - int(tile_h * overlap))
     y = 0
     while True:
         y2 = min(y + tile_h, height)
@@ -124,6 +127,47 @@ def tiles(width: int, height: int, tile_w: int, tile_h: int, overlap: float) ->
         y += step_h
 
 
+def tiled_polygons(df: DataFrame, grid: Sequence[tuple[int, int, int, int]], polygon: str = "coords") -> DataFrame:
+    """Each polygon in each tile that it overlaps: a row for each part that the tile cuts it into, moved to the tile.
+
+    Adds tile, part (from 0) and the part's ``polygon`` in pixels of the tile.
+    """
+    shapes = F.array(*[F.struct(F.lit(k).alias("tile"), *[F.lit(float(v)).alias(n) for n, v in zip(("tx1", "ty1", "tx2", "ty2"), t, strict=True)]) for k, t in enumerate(grid)])
+    inside = F.filter(shapes, lambda t: boxes.overlaps(polygons.corners(F.col(polygon)), (t["tx1"], t["ty1"], t["tx2"], t["ty2"])))
+    rows = df.withColumn("__t", F.explode(inside))
+    parts = polygons.clipped_parts(F.col(polygon), *[F.col(f"__t.{n}") for n in ("tx1", "ty1", "tx2", "ty2")])
+    rows = rows.select(*[c for c in df.columns if c != polygon], "__t", F.posexplode(parts).alias("part", "__p"))
+    return rows.withColumns({"tile": F.col("__t.tile"), polygon: polygons.moved(F.col("__p"), -F.col("__t.tx1"), -F.col("__t.ty1"))}).drop("__t", "__p")
+
+
+def sliced_names(rows: DataFrame, path: str, parts: int = 3) -> DataFrame:
+    """Each listed path once for each of its slices: slice (from 0) and ``stem_slice.suffix`` in the same folder."""
+    rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    p = F.col(path)
+    name = F.concat(text.stem(p), F.lit("_"), F.col("slice").cast("string"), text.suffix(p))
+    return rows.withColumn("sliced", F.when(text.folder(p) == "", name).otherwise(F.concat(text.folder(p), F.lit("/"), name)))
+
+
+def verified_pairs(pairs: DataFrame, content: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """The ``pairs(a, b)`` whose contents' structural similarity is above ``least``, with the similarity."""
+    sides = [content.select(F.col(key).alias(side), F.col(vector).alias(f"__{side}")) for side in "ab"]
+    rows = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("similarity", geometry.structural_similarity(F.col("__a"), F.col("__b")))
+    return rows.where(F.col("similarity") > least).drop("__a", "__b")
+
+
+def copy_plan(table: DataFrame, listing: DataFrame, name: str, target: str) -> DataFrame:
+    """(source, target): which listed file goes where for each name of a table; names without a file are left out."""
+    wanted = table.select(F.col(name).alias("__stem")).distinct()
+    rows = listing.join(wanted, text.stem(F.col("path")) == F.col("__stem"))
+    return rows.select(F.col("path").alias("source"), F.concat(F.lit(f"{target}/"), text.basename(F.col("path"))).alias("target"))
+
+
+def count_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, n_a, n_b, equal): rows of two tables by key, keys of either side."""
+    one, other = (t.groupBy(key).agg(F.count("*").alias(n)) for t, n in ((a, "n_a"), (b, "n_b")))
+    return one.join(other, key, "full").na.fill(0, ["n_a", "n_b"]).withColumn("equal", F.col("n_a") == F.col("n_b"))
+
+
 def tiled(df: DataFrame, grid: Sequence[tuple[int, int, int, int]]) -> DataFrame:
     """Each box in each tile that it overlaps: tile number, tile corners and the box in centre form of the tile."""
     shapes = F.array(*[F.struct(F.lit(k).alias("tile"), *[F.lit(float(v)).alias(n) for n, v in zip(("tx1", "ty1", "tx2", "ty2"), t, strict=True)]) for k, t in enumerate(grid)])

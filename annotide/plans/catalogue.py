@@ -337,20 +337,15 @@ def best_row(spark, sf):
 
 
 @query(
-    """with r as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as k from events where user_id < 20),
+    """with r as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as k from events),
     p as (select a.user_id, a.event_id, b.value as v, exp(-pow(b.k - a.k, 2) / 18.0) as w from r a join r b on a.user_id = b.user_id and abs(a.k - b.k) <= 12)
     select user_id, event_id, round(sum(v * w) / sum(w), 6) as smooth from p group by 1, 2"""
 )
 def gaussian_smoothing(spark, sf):
-    rows = statistics.smoothed(table(spark, sf, "events").where("user_id < 20"), ["user_id"], "event_id", "value", 3.0)
+    rows = statistics.smoothed(table(spark, sf, "events"), ["user_id"], "event_id", "value", 3.0)
     return rows.select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
 
 
-@query()
-def gaussian_smoothing_all_users(spark, sf):
-    return statistics.smoothed(table(spark, sf, "events"), ["user_id"], "event_id", "value", 3.0).select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
-
-
 # ------------------------------------------------------------------ labels
 
 
@@ -662,11 +657,10 @@ def connected_merge(spark, sf):
 
 
 _GRID = tables.tiles(200, 200, 80, 80, 0.5)
-_TILES = ", ".join(f"({k}, {a}, {b}, {c}, {d})" for k, (a, b, c, d) in enumerate(_GRID))
 
 
 @query(
-    f"""with {_BASE}, t(tile, tx1, ty1, tx2, ty2) as (values {_TILES})
+    f"""with {_BASE}, t as (select a * 4 + b as tile, b * 40 as tx1, a * 40 as ty1, b * 40 + 80 as tx2, a * 40 + 80 as ty2 from range(4) as y(a), range(4) as x(b))
     select image, obj, tile, round((greatest(x1, tx1) + least(x2, tx2) - 2 * tx1) / 2.0 / (tx2 - tx1), 9) as tcx, round((greatest(y1, ty1) + least(y2, ty2) - 2 * ty1) / 2.0 / (ty2 - ty1), 9) as tcy,
     round((least(x2, tx2) - greatest(x1, tx1)) / (tx2 - tx1), 9) as tw, round((least(y2, ty2) - greatest(y1, ty1)) / (ty2 - ty1), 9) as th
     from lab join t on greatest(x1, tx1) < least(x2, tx2) and greatest(y1, ty1) < least(y2, ty2)"""

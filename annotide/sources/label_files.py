@@ -35,9 +35,15 @@ def label_rows(spark: SparkSession, path: str, attributes: bool = False, confide
     With ``confidence`` the last number is one.  ``binary`` makes levels 0 or
     1.  ``names(cls, name)`` adds the class name, null for unknown classes.
     """
-    rows = lines(spark, path).withColumn("p", labels.parsed(F.col("line"), attributes))
+    rows = rows_of(lines(spark, path), attributes, confidence, binary)
+    return rows.join(F.broadcast(names), "cls", "left") if names is not None else rows
+
+
+def rows_of(lines: DataFrame, attributes: bool = False, confidence: bool = False, binary: bool = False) -> DataFrame:
+    """The same of ``lines(file, line_no, line)``, wherever they come from."""
+    rows = lines.withColumn("p", labels.parsed(F.col("line"), attributes))
     coords = F.col("p.coords")
-    rows = rows.select(
+    return rows.select(
         F.col("file").alias("image"),
         F.col("line_no").alias("obj"),
         "p.cls",
@@ -45,7 +51,6 @@ def label_rows(spark: SparkSession, path: str, attributes: bool = False, confide
         (F.slice(coords, 1, F.greatest(F.size(coords) - 1, F.lit(0))) if confidence else coords).alias("coords"),
         (F.try_element_at(coords, F.lit(-1)) if confidence else F.lit(None).cast("double")).alias("conf"),
     )
-    return rows.join(F.broadcast(names), "cls", "left") if names is not None else rows
 
 
 def with_boxes(df: DataFrame) -> DataFrame:

@@ -12,10 +12,12 @@ import duckdb
 import numpy as np
 import pytest
 
-from annotide.operators import matching, suppression
-from annotide.plans import catalogue
+from annotide.functions import polygons
+from annotide.operators import matching, suppression, tables
+from annotide.plans import catalogue, rewrites
 
 DATA = "/root/testdata/sf0.001"
+assert rewrites  # registers its queries
 
 
 @pytest.fixture(scope="module")
@@ -103,6 +105,94 @@ def test_connected_boxes_equal_plain_ones(spark):
     assert set(got) == set(want)
 
 
+def plain_merge(rows, least):
+    """Boxes by falling score: the first one is cut down by the first box that it covers enough of, and compared anew."""
+    left = sorted(rows, key=lambda r: -r[0])
+    out = []
+    while left:
+        conf, obj, box = left.pop(0)
+        for k, (_, _, other) in enumerate(left):
+            cut = (max(box[0], other[0]), max(box[1], other[1]), min(box[2], other[2]), min(box[3], other[3]))
+            common = max(0, cut[2] - cut[0] + 1) * max(0, cut[3] - cut[1] + 1)
+            if common / ((other[2] - other[0] + 1) * (other[3] - other[1] + 1)) > least:
+                del left[k]
+                left.insert(0, (conf, obj, cut))
+                break
+        else:
+            out.append((obj, box))
+    return out
+
+
+def test_box_merge_equals_plain_one(spark):
+    groups = {}
+    for r in sorted(boxes(spark, "found"), key=lambda r: (r["image"], r["cls"], r["obj"])):
+        groups.setdefault((r["image"], r["cls"]), []).append((r["conf"], r["obj"], corner(r)))
+    rows = catalogue.derived(spark, DATA)[1].select("image", "obj", "cls", "x1", "y1", "x2", "y2", "conf").orderBy("obj")
+    for least in (0.3, 0.6):
+        want = {(image, cls, obj, *box) for (image, cls), own in groups.items() if len({c for c, _, _ in own}) == len(own) for obj, box in plain_merge(own, least)}
+        got = {(r["image"], r["cls"], r["obj"], r["x1"], r["y1"], r["x2"], r["y2"]) for r in suppression.merged_by_score(rows, least).collect()}
+        assert want <= got and len(want) > 1000
+
+
+def test_used_once_equals_plain_one(spark):
+    sides = {}
+    for name in ("own", "found"):
+        for r in sorted(boxes(spark, name), key=lambda r: r["obj"]):
+            sides.setdefault(r["image"], {"own": [], "found": []})[name].append(corner(r))
+    for r in catalogue.QUERIES["used_once_match"](spark, DATA).collect():
+        own, found = sides[r["image"]]["own"], sides[r["image"]]["found"]
+        used, hits = set(), 0
+        for b in found:
+            shares = [iou(a, b) for a in own]
+            if shares and max(shares) >= 0.5 and shares.index(max(shares)) not in used:
+                used.add(shares.index(max(shares)))
+                hits += 1
+        assert (r["tp"], r["fp"], r["fn"]) == (hits, len(found) - hits, len(own) - hits)
+
+
+def test_tiles_share_whole_pixels():
+    assert [t[0] for t in tables.tiles(1000, 100, 512, 512, 0.2)] == [0, 410, 488]  # 512 - int(102.4)
+    assert [t[0] for t in tables.tiles(130, 50, 100, 50, 0.9)] == [0, 10, 20, 30]
+    assert tables.tiles(50, 40, 80, 80, 0.5) == [(0, 0, 50, 40)]
+
+
+def test_shared_area_and_parts_of_polygons():
+    draw = random.Random(4)
+    box = lambda a, b, c, d: [a, b, c, b, c, d, a, d]
+    for _ in range(200):
+        p, q = ([draw.randint(0, 20) for _ in range(4)] for _ in "ab")
+        p, q = ([min(x[0], x[2]), min(x[1], x[3]), max(x[0], x[2]) + 1, max(x[1], x[3]) + 1] for x in (p, q))
+        common = max(0, min(p[2], q[2]) - max(p[0], q[0])) * max(0, min(p[3], q[3]) - max(p[1], q[1]))
+        assert polygons.shared_area(box(*p), box(*q)) == pytest.approx(common, abs=1e-9)
+    comb = [(0, 0), (10, 0), (10, 8), (8, 8), (8, 2), (6, 2), (6, 8), (4, 8), (4, 2), (2, 2), (2, 8), (0, 8)]  # three teeth
+    flat = [v for p in comb for v in p]
+    parts = polygons.clip_parts(comb, (0, 4, 20, 6))
+    assert sorted(abs(polygons._signed(p)) for p in parts) == pytest.approx([4, 4, 4])
+    assert polygons.clip_parts(comb, (30, 30, 40, 40)) == [] and len(polygons.clip_parts(comb, (0, 0, 20, 20))) == 1
+    for _ in range(100):
+        star = [(10 + (r := draw.uniform(2, 10)) * math.cos(k / 9 * 2 * math.pi), 10 + r * math.sin(k / 9 * 2 * math.pi)) for k in range(9)]
+        x, y = draw.uniform(0, 15), draw.uniform(0, 15)
+        rect = (x, y, x + draw.uniform(1, 8), y + draw.uniform(1, 8))
+        total = sum(abs(polygons._signed(p)) for p in polygons.clip_parts(star, rect))
+        assert total == pytest.approx(polygons.shared_area([v for p in star for v in p], box(*rect)), abs=1e-7)
+    assert polygons.shared_area(flat, flat) == pytest.approx(abs(polygons._signed(comb)))
+
+
+def test_seeded_choices(spark):
+    rows = catalogue.QUERIES["weighted_choice"](spark, DATA).collect()
+    assert len({r["p_partkey"] for r in rows}) == 100
+    shown = catalogue.QUERIES["shown_subset"](spark, DATA).collect()
+    counts = Counter(r["image"] for r in shown)
+    assert len(counts) == 20 and max(counts.values()) <= 3 and len(set(shown)) == len(shown)
+    picked = catalogue.QUERIES["sample_distinct"](spark, DATA).collect()
+    assert len({(r["c_nationkey"], r["c_mktsegment"]) for r in picked}) == 50
+    first = {}
+    for r in spark.read.parquet(f"{DATA}/customer.parquet").collect():
+        key = (r["c_nationkey"], r["c_mktsegment"])
+        first[key] = min(first.get(key, r["c_custkey"]), r["c_custkey"])
+    assert all(first[r["c_nationkey"], r["c_mktsegment"]] == r["c_custkey"] for r in picked)
+
+
 def test_merged_boxes_stay_inside_and_cover_all(spark):
     found = {(r["image"], r["obj"]): r for r in boxes(spark, "found")}
     rows = catalogue.QUERIES["box_merge"](spark, DATA).collect()
@@ -166,6 +256,6 @@ def test_smoothing_of_all_users_equals_plain_one(spark, duck):
         for k, (event, _) in enumerate(rows):
             near = [(math.exp(-((j - k) ** 2) / 18), rows[j][1]) for j in range(max(0, k - 12), min(len(rows), k + 13))]
             want[user, event] = sum(w * v for w, v in near) / sum(w for w, _ in near)
-    got = {(r["user_id"], r["event_id"]): r["smooth"] for r in catalogue.QUERIES["gaussian_smoothing_all_users"](spark, DATA).collect()}
+    got = {(r["user_id"], r["event_id"]): r["smooth"] for r in catalogue.QUERIES["gaussian_smoothing"](spark, DATA).collect()}
     assert set(got) == set(want)
     assert all(got[k] == pytest.approx(v, abs=2e-6) for k, v in want.items())
