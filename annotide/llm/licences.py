@@ -1,20 +1,23 @@
 """Licence scans by a positional rare-token index.
 
-Templates are indexed by their rarest words: each entry says in which
-template and at which word it stands.  A file's licence words are looked up,
-every posting votes for the place where its template would begin, and votes
-that agree on a place (within a slack for longer templates) make a candidate.
-A candidate counts only if all mandatory phrases of the template stand there.
+Every template has mandatory phrases, and each phrase is indexed by its rarest
+word: a posting says in which template and phrase, and at which place of it, the
+word stands.  A file's words are looked up; of those that a template needs, the
+file's rarest one proposes places, and the postings of the others are
+intersected with them by relative position (within a slack).  A candidate counts
+only if all mandatory phrases of the template stand there, so a text in which
+they all stand where the template has them is never lost.
 
 Rarity is the inverse document frequency of a template word over the whole
-corpus, so a licence word that is common in some language (mit) is no anchor.
+corpus, so a licence word that is common in some language (mit) proposes
+nothing where a rarer one is needed too.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +70,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
 ]
 
-#: Rarest words by which a longer template is looked up, the votes that must agree, and how far words may shift.
-ANCHORS, VOTES, SLACK = 5, 2, 8
+#: How many words a mandatory phrase may be off its place in a template, beside those outside the phrases that may be missing.
+SLACK = 8
 
 MATCHES = T.ArrayType(
     T.StructType(
@@ -89,22 +92,24 @@ _MATCHES_ARROW = pa.list_(
 
 @dataclass
 class Template:
+    """``keys`` are the mandatory phrases, ``offsets`` their places in the template, ``lead`` the one with the rarest word."""
+
     label: str
-    words: np.ndarray
+    size: int
     keys: list[np.ndarray]
-    slack: int
-    votes: int
+    offsets: list[int]
+    lead: int
     is_phrase: bool
-    weight: dict[int, float] = field(default_factory=dict)
+    weight: dict[int, float]
 
 
 @dataclass
 class Index:
-    """Postings of anchor words: ``postings[w]`` lists (template, word position)."""
+    """Postings of the phrases' rarest words: ``postings[w]`` lists (template, phrase, place in the phrase)."""
 
     known: Lookup
     templates: list[Template]
-    postings: dict[int, list[tuple[int, int]]]
+    postings: dict[int, list[tuple[int, int, int]]]
     anchor: np.ndarray
 
 
@@ -122,40 +127,27 @@ def build_index(counts: dict[int, int], rows: int) -> Index:
     rarity = {w: math.log((rows + 1) / (counts.get(w, 0) + 1)) + 1e-3 for w in number.values()}
     templates, postings = [], {}
     wanted = [(label, text, [text], True) for text, label in PHRASES.items()] + [(label, text, keys, False) for label, text, keys in TEMPLATES]
-    for label, text, keys, is_phrase in wanted:
-        words = np.array([number[w] for w in text.split()], np.int64)
-        rarest = sorted(dict.fromkeys(words.tolist()), key=lambda w: (-rarity[w], w))
-        anchors = set(rarest[: 1 if is_phrase else ANCHORS])
-        k = len(templates)
-        templates.append(
-            Template(
-                label,
-                words,
-                [np.array([number[w] for w in key.split()], np.int64) for key in keys],
-                0 if is_phrase else SLACK,
-                1 if is_phrase else min(VOTES, len(anchors)),
-                is_phrase,
-                {w: rarity[w] for w in set(words.tolist())},
-            )
-        )
-        for at, w in enumerate(words.tolist()):
-            if w in anchors:
-                postings.setdefault(w, []).append((k, at))
+    for k, (label, text, keys, is_phrase) in enumerate(wanted):
+        words = [number[w] for w in text.split()]
+        phrases = [[number[w] for w in key.split()] for key in keys]
+        offsets = [next(a for a in range(len(words)) if words[a : a + len(p)] == p) for p in phrases]
+        rarest = [max(range(len(p)), key=lambda a, p=p: (rarity[p[a]], -a)) for p in phrases]
+        lead = max(range(len(phrases)), key=lambda i: (rarity[phrases[i][rarest[i]]], -i))
+        templates.append(Template(label, len(words), [np.array(p, np.int64) for p in phrases], offsets, lead, is_phrase, {w: rarity[w] for w in set(words)}))
+        for i, at in enumerate(rarest):
+            postings.setdefault(phrases[i][at], []).append((k, i, at))
     anchor = np.zeros(len(known.hashes) + 1, bool)  # the last entry is for strangers
     anchor[list(postings)] = True
     return Index(known, templates, postings, anchor)
 
 
-def _stands(ids: np.ndarray, phrase: np.ndarray, low: int, high: int) -> int:
-    """The first place in ``low`` to ``high`` where ``phrase`` stands, or -1."""
-    last = high - len(phrase) + 1
-    if last <= low:
-        return -1
-    good = np.ones(last - low, bool)
+def _stands(ids: np.ndarray, begins: np.ndarray, places: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """Those of ``places`` (in order) where ``phrase`` stands within one text."""
+    places = places[(places >= 0) & (places + len(phrase) <= len(ids))]
+    places = places[np.searchsorted(begins, places, "right") == np.searchsorted(begins, places + len(phrase) - 1, "right")]
     for i, w in enumerate(phrase.tolist()):
-        good &= ids[low + i : last + i] == w
-    at = np.flatnonzero(good)
-    return low + int(at[0]) if len(at) else -1
+        places = places[ids[places + i] == w]
+    return places
 
 
 def scan(index: Index, texts: Sequence[str]) -> tuple[np.ndarray, list[list[dict]]]:
@@ -164,47 +156,45 @@ def scan(index: Index, texts: Sequence[str]) -> tuple[np.ndarray, list[list[dict
     found: list[list[dict]] = [[] for _ in texts]
     ids = index.known.ids(hashes)
     hits = np.flatnonzero(index.anchor[ids])
-    if len(hits):
-        rows = np.searchsorted(begins, hits, side="right") - 1
-        words = ids[hits]
-        votes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for w, places in index.postings.items():
-            own = np.flatnonzero(words == w)
-            if len(own):
-                for k, at in places:
-                    votes.setdefault(k, []).append((rows[own], hits[own] - at, words[own]))
-        for k, parts in votes.items():
-            t = index.templates[k]
-            row, start, word = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if t.is_phrase:
-                good = (start >= begins[row]) & (start + len(t.words) <= begins[row + 1])
-                row, start = row[good], start[good]
-                for i, w in enumerate(t.words.tolist()):
-                    same = ids[start + i] == w
-                    row, start = row[same], start[same]
-                for r, s in sorted(set(zip(row.tolist(), start.tolist(), strict=True))):
-                    at = s - int(begins[r])
-                    found[r].append({"label": t.label, "start_word": at, "end_word": at + len(t.words), "score": 1.0, "is_phrase": True})
+    stands: dict[tuple[int, int], np.ndarray] = {}
+    words = ids[hits]
+    for w, posted in index.postings.items():
+        own = hits[words == w]
+        if len(own):
+            for k, i, at in posted:
+                stands[k, i] = _stands(ids, begins, own - at, index.templates[k].keys[i])
+    for k, t in enumerate(index.templates):
+        places = stands.get((k, t.lead), np.zeros(0, np.int64))
+        if not len(places):
+            continue
+        row = np.searchsorted(begins, places, "right") - 1
+        first, last = places.copy(), places + len(t.keys[t.lead])
+        good = np.ones(len(places), bool)
+        for i, phrase in enumerate(t.keys):
+            if i == t.lead:
                 continue
-            order = np.lexsort((start, row))
-            row, start, word = row[order], start[order], word[order]
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] - start[:-1] > t.slack)])
-            cuts = np.append(np.flatnonzero(new), len(row))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if len(set(word[a:b].tolist())) < t.votes:
-                    continue
-                r = int(row[a])
-                low = max(int(begins[r]), int(start[a]) - t.slack)
-                high = min(int(begins[r + 1]), int(start[b - 1]) + len(t.words) + t.slack)
-                places = [_stands(ids, key, low, high) for key in t.keys]
-                if min(places) < 0:
-                    continue
-                there = set(ids[low:high].tolist())
-                score = sum(v for w, v in t.weight.items() if w in there) / sum(t.weight.values())
-                first, last = min(places), max(p + len(key) for p, key in zip(places, t.keys, strict=True))
-                found[r].append(
-                    {"label": t.label, "start_word": first - int(begins[r]), "end_word": last - int(begins[r]), "score": min(1.0, score), "is_phrase": False}
-                )
+            others = stands.get((k, i), np.zeros(0, np.int64))
+            if not len(others):
+                good[:] = False
+                break
+            wanted = places + t.offsets[i] - t.offsets[t.lead]
+            slack = SLACK + max(0, t.size - sum(map(len, t.keys)))
+            nearest, gap = np.zeros(len(places), np.int64), np.full(len(places), slack + 1)
+            right = np.searchsorted(others, np.clip(wanted, begins[row], begins[row + 1] - 1))  # neighbours in the same text
+            for side in (right - 1, right):
+                at = others[np.clip(side, 0, len(others) - 1)]
+                off = np.where((at >= begins[row]) & (at < begins[row + 1]), np.abs(at - wanted), slack + 1)
+                nearest, gap = np.where(off < gap, at, nearest), np.minimum(gap, off)
+            good &= gap <= slack
+            nearest = np.where(gap <= slack, nearest, places)
+            first, last = np.minimum(first, nearest), np.maximum(last, nearest + len(phrase))
+        met = sorted(set(zip(row[good].tolist(), first[good].tolist(), last[good].tolist(), strict=True)))
+        for r, a, b in met:
+            score = 1.0
+            if not t.is_phrase:
+                there = set(ids[max(int(begins[r]), a - t.size - SLACK) : min(int(begins[r + 1]), b + t.size + SLACK)].tolist())
+                score = min(1.0, sum(v for w, v in t.weight.items() if w in there) / sum(t.weight.values()))
+            found[r].append({"label": t.label, "start_word": a - int(begins[r]), "end_word": b - int(begins[r]), "score": score, "is_phrase": t.is_phrase})
     for own in found:
         own.sort(key=lambda m: (m["start_word"], m["label"], m["end_word"]))
     return np.diff(begins), found
@@ -240,8 +230,9 @@ def with_licences(documents: DataFrame, text: str = "text") -> DataFrame:
 
     A-Z are lower-cased; a word is a run of ASCII letters or digits and of
     characters outside ASCII.  A null or empty text has no words and no
-    licence; every place is reported, ordered by word.  Columns named
-    n_words or licences are replaced.
+    licence.  Every place of a phrase is reported, and of a template every place
+    of its rarest mandatory phrase with the nearest ones of the others, ordered
+    by word.  Columns named n_words or licences are replaced.
     """
     counts, rows = word_documents(documents, text)
     index = build_index(counts, rows)

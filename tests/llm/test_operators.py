@@ -92,6 +92,26 @@ def test_licence_templates_need_their_key_phrases():
         assert label in {m["label"] for m in licences.scan(index, [f"x {words} y"])[1][0]}
 
 
+def test_mandatory_phrases_alone_are_found_for_any_counts():
+    draw = random.Random(5)
+    _, number = licences.vocabulary()
+    for counts in ({}, {w: 100 for w in number.values()}, *({w: draw.randint(0, 100) for w in number.values()} for _ in range(10))):
+        index = licences.build_index(counts, 100)
+        for label, _, keys in licences.TEMPLATES:
+            text = " ".join(keys)
+            other = " ".join(["some", "other", "words", *keys[0].split()[:-1]])
+            found = licences.scan(index, [other, text, f"x {text} y", text + " z " * 200 + text])[1]
+            assert label not in {m["label"] for m in found[0]} and label in {m["label"] for m in found[1]} & {m["label"] for m in found[2]}
+            assert [m["start_word"] for m in found[3] if m["label"] == label] == [0, len(text.split()) + 200]
+
+
+def test_every_place_of_a_template_is_reported():
+    index = licences.build_index({}, 0)
+    found = licences.scan(index, ["gnu lesser general public license " * 3, "gnu lesser general", "public license"])[1]
+    assert [(m["start_word"], m["end_word"]) for m in found[0] if m["label"] == "lgpl"] == [(0, 5), (5, 10), (10, 15)]
+    assert not found[1] and not found[2]  # not across texts
+
+
 def test_licences_of_no_rows(empty):
     assert licences.with_licences(empty).count() == 0
 
