@@ -7,9 +7,10 @@ sorted lists, until the cells hold its budget of vectors; these are reranked
 by exact products.  The budget is a share of all vectors: the smallest one
 that reached the target recall on a bounded sample.
 
-Cells are packed into bins of bounded size, large cells cut by a hash, and
-queries into blocks; every (bin, block) pair in which some query walks is one
-small matrix product.
+Cells are packed into bins of bounded size, large cells cut by a hash.  Queries
+are routed to the bins that they walk in; the queries of a bin are cut into
+blocks, and every (bin, block) is one small matrix product.  A vector is sent
+once for each block of its own bin's queries, never to blocks of others.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from annotide.llm.common import checkpoint, quoted, rows_about
 
-#: Vectors in the sample (about), centroids of each half, vectors in a bin, queries in a block.
-SAMPLE, CENTROIDS, BIN_ROWS, BLOCK_QUERIES = 8192, 64, 8192, 16384
+#: Vectors in the sample (about), vectors in a bin, queries in a block.
+SAMPLE, BIN_ROWS, BLOCK_QUERIES = 8192, 8192, 4096
+#: Centroids of each half: least and most, and vectors that a cell should hold.
+CENTROIDS, MOST_CENTROIDS, CELL_ROWS = 64, 256, 64
 TARGET_RECALL = 0.97
 #: Every query gets this many candidates at least.
 LEAST_CANDIDATES = 256
@@ -86,11 +89,11 @@ def _centroids(x: np.ndarray, k: int, draw: np.random.Generator, rounds: int = 1
     return centres
 
 
-def fit(sample: np.ndarray, neighbours: int, recall: float = TARGET_RECALL, seed: int = 3) -> Index:
+def fit(sample: np.ndarray, neighbours: int, recall: float = TARGET_RECALL, seed: int = 3, centroids: int = CENTROIDS) -> Index:
     """Quantisers from a bounded sample, and the share of vectors a query must walk for ``recall``."""
     draw = np.random.Generator(np.random.PCG64(seed))
     cut = sample.shape[1] // 2
-    index = Index((_centroids(sample[:, :cut], CENTROIDS, draw), _centroids(sample[:, cut:], CENTROIDS, draw)), cut, 1.0)
+    index = Index((_centroids(sample[:, :cut], centroids, draw), _centroids(sample[:, cut:], centroids, draw)), cut, 1.0)
     probes = draw.choice(len(sample), min(256, len(sample)), replace=False)
     if len(sample) > 4 * neighbours:
         cell = index.cells(sample)
@@ -127,21 +130,23 @@ def nearest(
 
     Score is the inner product of the original vectors in double precision;
     ties go to the smaller key.  Rows without key, unusable vectors and
-    vectors of another length than most take no part; rows with a query's
-    own key are no candidates of it.  Fewer candidates than asked for: all.
+    vectors of another length than most take no part; of rows that repeat a
+    key the one with the smallest vector counts.  A query's own key is no
+    candidate of it.  Fewer candidates than asked for: all.
     """
     spark = vectors.sparkSession
     rows = vectors.select(quoted(key).cast("long").alias("id"), quoted(vector).cast("array<double>").alias("v"), queries.alias("asks")).where(
         F.col("id").isNotNull() & usable(F.col("v"))
     )
-    widths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.count_if("asks").alias("asks")).orderBy(F.desc("rows"), "n").limit(1).collect()
+    widths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
     empty = "query_id long, rank int, vec_id long, score double"
     if not widths:
         return spark.createDataFrame([], empty)
-    width, total, asking = widths[0]["n"], widths[0]["rows"], widths[0]["asks"]
-    rows = rows.where(F.size("v") == width)
+    width, total = widths[0]["n"], widths[0]["rows"]
+    rows = rows.where(F.size("v") == width).groupBy("id").agg(F.min("v").alias("v"), F.bool_or("asks").alias("asks"))
     sample = np.array([r["v"] for r in rows_about(rows, F.col("id"), SAMPLE, total).orderBy("id").limit(4 * SAMPLE).collect()], np.float64)
-    index = fit(sample, neighbours)
+    centroids = int(min(MOST_CENTROIDS, max(CENTROIDS, (total / CELL_ROWS) ** 0.5)))  # cells grow with the vectors
+    index = fit(sample, neighbours, centroids=centroids)
     budget = max(LEAST_CANDIDATES, int(np.ceil(index.share * total)) + 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +157,7 @@ def nearest(
 
     placed = checkpoint(rows.mapInArrow(place, "id long, v array<double>, asks boolean, cell int"))
     sizes = np.zeros(len(index.halves[0]) * len(index.halves[1]), np.int64)
-    for r in placed.groupBy("cell").count().collect():  # at most CENTROIDS squared rows
+    for r in placed.groupBy("cell").count().collect():  # at most MOST_CENTROIDS squared rows
         sizes[r["cell"]] = r["count"]
     index.sizes = sizes
     index.bins = np.maximum(1, -(-sizes // BIN_ROWS))
@@ -165,7 +170,6 @@ def nearest(
         held += int(sizes[c])
         if index.bins[c] > 1:
             bin_number, held = bin_number + int(index.bins[c]), 0
-    blocks = max(1, -(-asking // BLOCK_QUERIES))
 
     def bin_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index
@@ -196,17 +200,20 @@ def nearest(
                 stops += [stop] * len(walked)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(stops, pa.float64()), pa.array(bins, pa.int32()), batch.column(2).take(at)],
-                names=["id", "v", "stop", "bin", "block"],
+                [batch.column(0).take(at), pa.array(stops, pa.float64()), pa.array(bins, pa.int32())], names=["id", "stop", "bin"]
             )
 
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    asking_rows = placed.where("asks").select("id", "v")
+    routed = checkpoint(asking_rows.mapInArrow(route, "id long, stop double, bin int"))
+    blocks = routed.groupBy("bin").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks"))
     stored = (
         placed.select("id", "v", "cell", F.pmod(F.xxhash64("id", F.lit("bin")), F.lit(1 << 30)).alias("draw"))
         .mapInArrow(bin_of, "id long, v array<double>, cell int, bin int")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .join(blocks, "bin")
+        .select("id", "v", "cell", "bin", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     )
-    asked = placed.where("asks").select("id", "v", block).mapInArrow(route, "id long, v array<double>, stop double, bin int, block int")
+    asked = routed.join(blocks, "bin").select("id", "stop", "bin", F.pmod(F.xxhash64("id", "bin"), F.col("blocks")).cast("int").alias("block"))
+    asked = asked.join(asking_rows, "id").select("id", "v", "stop", "bin", "block")
 
     def rerank(here: pa.Table, asks: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
@@ -218,17 +225,19 @@ def nearest(
             q_ids, stops = asks["id"].to_numpy(), asks["stop"].to_numpy()
             q = _matrix(asks["v"].combine_chunks(), width)
             right_width = len(own.halves[1])
+            longest = float(np.sqrt((x * x).sum(1).max()))
             for a in range(0, len(q), 256):
                 part = q[a : a + 256]
                 left, right = own.products(part)
                 sums = left[:, cells // right_width] + right[:, cells % right_width]
                 scores = part @ x.T
-                scores[(sums < stops[a : a + 256, None] - 1e-9) | (ids[None, :] == q_ids[a : a + 256, None])] = -np.inf
+                blur = 1e-10 * longest * np.sqrt((part * part).sum(1))  # more than rounding can differ
+                scores[(sums < (stops[a : a + 256] - blur)[:, None]) | (ids[None, :] == q_ids[a : a + 256, None])] = -np.inf
                 for k in range(len(part)):
                     row = scores[k]
                     if len(row) > neighbours:
                         floor = np.partition(row, len(row) - neighbours)[len(row) - neighbours]
-                        near = np.flatnonzero((row >= floor - 1e-9) & (row > -np.inf))
+                        near = np.flatnonzero((row >= floor - blur[k]) & (row > -np.inf))
                     else:
                         near = np.flatnonzero(row > -np.inf)
                     exact = (x[near] * part[k]).sum(1)

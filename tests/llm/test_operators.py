@@ -328,6 +328,21 @@ def test_neighbours_of_few_and_unusable_vectors(spark):
     assert neighbours.nearest(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_ids_and_long_vectors(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(300, 6)) * 1e8
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(20, (x[20] + 1e9).tolist()), (7, x[7].tolist())]
+    x[20] = min(rows[20][1], rows[300][1])
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 3)  # bins with several blocks of queries
+    monkeypatch.setattr(neighbours, "BIN_ROWS", 20)
+    monkeypatch.setattr(neighbours, "LEAST_CANDIDATES", 300)
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    for q in range(0, 300, 20):
+        scores = (x * x[q]).sum(1)
+        order = [k for k in np.lexsort((np.arange(300), -scores)) if k != q][:20]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == order
+
+
 def test_walk_visits_cells_by_falling_sum():
     draw = np.random.default_rng(0)
     left, right = draw.normal(size=7), draw.normal(size=5)
