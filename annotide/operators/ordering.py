@@ -15,18 +15,23 @@ from pyspark.sql import functions as F
 BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 64, 1024, 4_000_000
 
 
+def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """``df`` with __bucket: consecutive ranges of a numeric column, -1 for nulls, about as full as one another."""
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, max(BUCKETS, df.count() // BUCKET_ROWS))
+    cuts = sorted(set(df.approxQuantile(key, [k / buckets for k in range(1, buckets)], 0.005)))
+    edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(edges, lambda c: c < F.col(key).cast("double"))))
+    return df.withColumn("__bucket", bucket)
+
+
 def numbered(df: DataFrame, key: str, name: str = "place", buckets: int | None = None, then: Sequence[str] = ()) -> DataFrame:
     """``df`` with each row's place (from 0) in the order of a numeric column, nulls first, equal ones by ``then``.
 
     key and ``then`` must tell rows apart.  Cuts between buckets come from
     approximate quantiles; any cuts give the same places, good ones even work.
     """
-    if buckets is None:
-        buckets = min(MOST_BUCKETS, max(BUCKETS, df.count() // BUCKET_ROWS))
-    cuts = sorted(set(df.approxQuantile(key, [k / buckets for k in range(1, buckets)], 0.005)))
-    edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(edges, lambda c: c < F.col(key).cast("double"))))
-    rows = df.withColumn("__bucket", bucket)
+    rows = bucketed(df, key, buckets)
     counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__bucket", before.alias("__before"))  # a row a bucket

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annotide.operators import ordering
+
 
 def category_counts(df: DataFrame, category: str) -> DataFrame:
     return df.groupBy(category).agg(F.count("*").alias("n")).orderBy(category)
@@ -115,10 +117,18 @@ def auto_histogram(df: DataFrame, value: Column) -> DataFrame:
 
 
 def cumulative_share(df: DataFrame, value: str) -> DataFrame:
-    """(value, share): the part of rows at or below each value; equal values are one row before any sort."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    order = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(F.col(value).alias("value"), (F.sum("n").over(order) / F.sum("n").over(Window.partitionBy())).alias("share"))
+    """(value, share): the part of rows at or below each value; nulls don't count.
+
+    Equal values are one row before any sort, and ranges of values are sorted
+    side by side.
+    """
+    counts = ordering.bucketed(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), value)
+    sums = counts.groupBy("__bucket").agg(F.sum("n").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select("__bucket", before.alias("__before"), F.sum("__sum").over(Window.partitionBy()).alias("__all"))  # a row a bucket
+    so_far = F.sum("n").over(Window.partitionBy("__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.withColumn("__own", so_far).join(F.broadcast(offsets), "__bucket")
+    return rows.select(F.col(value).alias("value"), ((F.col("__before") + F.col("__own")) / F.col("__all")).alias("share"))
 
 
 def density(df: DataFrame, x: Column, y: Column, bins: int, low: float = 0.0, high: float = 1.0) -> DataFrame:
