@@ -21,8 +21,8 @@ PERIOD_DAYS = 32
 
 
 def host_of(url: Column) -> Column:
-    """The host in lower case, without user, port and a final dot; empty if there is none."""
-    return F.regexp_replace(F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))), r"\.$", "")
+    """The host in lower case, without user, port and a final dot, an IPv6 address in its brackets; empty if there is none."""
+    return F.regexp_replace(F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1), F.lit(""))), r"\.$", "")
 
 
 def segment_of(url: Column) -> Column:
@@ -35,12 +35,14 @@ def keys_of(host: Column, segment: Column) -> Column:
 
     Domains of two labels at least, by rising length, each without and with
     the path segment: ranks 0 and 1 for the shortest domain, then 2 and 3.
+    An IP address has no parents: its only domain is itself.
     """
-    labels = F.split(host, r"\.")
+    address = host.rlike(r"^(\d+\.\d+\.\d+\.\d+|\[.*\])$")
+    labels = F.when(address, F.array(F.lit(""), host)).otherwise(F.split(host, r"\."))
     size = F.when(host == "", F.lit(0)).otherwise(F.size(labels))
 
     def domain(n: Column) -> Column:
-        return F.array_join(F.slice(labels, size - n + 1, n), ".")
+        return F.when(address, host).otherwise(F.array_join(F.slice(labels, size - n + 1, n), "."))
 
     def both(n: Column) -> Column:
         plain = F.struct(domain(n).alias("key"), ((n - 2) * 2).alias("rank"))

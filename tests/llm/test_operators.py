@@ -695,6 +695,14 @@ def test_url_verdicts_equal_brute_force(spark):
         assert (r["n_active"], r["verdict"], r["matched_key"], r["active_since"]) == (len(active), best[3], best[2], best[1])
 
 
+def test_addresses_have_no_parent_domains(spark):
+    urls = ["http://10.0.0.1:8080/a/b", "https://u@[::1]:80/x", "http://a.b.example.org/", "http://localhost/z"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_filters.host_of(F.col("url")).alias("host"), url_filters.segment_of(F.col("url")).alias("segment"))
+    got = {r["url"]: (r["host"], [k["key"] for k in r["keys"]]) for r in rows.withColumn("keys", url_filters.keys_of(F.col("host"), F.col("segment"))).collect()}
+    assert got[urls[0]] == ("10.0.0.1", ["10.0.0.1", "10.0.0.1/a"]) and got[urls[1]] == ("[::1]", ["[::1]", "[::1]/x"])
+    assert got[urls[2]] == ("a.b.example.org", ["example.org", "b.example.org", "a.b.example.org"]) and got[urls[3]] == ("localhost", [])
+
+
 def test_urls_without_host_and_dates(spark):
     day = "2024-03-01"
     rows = [(1, None, day), (2, "not a url", day), (3, "http://u:p@A.Example.com.:80/x/y?z", day), (4, "http://a.example.com/", None), (3, "http://u:p@A.Example.com.:80/x/y?z", day)]
