@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,41 @@ def structural_similarity(a: Column, b: Column, span: float = 1.0) -> Column:
     return light * (2 * spread(a, b) + c2) / (spread(a, a) + spread(b, b) + c2)
 
 
+def mirrored(image: Column, width: int) -> Column:
+    """A flat image with left and right exchanged."""
+    places = F.sequence(F.lit(0), F.size(image) - 1)
+    return F.transform(places, lambda k: F.get(image, (k - k % width + (width - 1 - k % width)).cast("int")))
+
+
+def quarter_turned(image: Column, width: int) -> Column:
+    """A flat square image turned by a quarter, clockwise."""
+    places = F.sequence(F.lit(0), F.size(image) - 1)
+    return F.transform(places, lambda k: F.get(image, ((width - 1 - k % width) * width + F.floor(k / width)).cast("int")))
+
+
+def phase_response(a: Column, b: Column, width: int) -> Column:
+    """The height of the peak of the phase correlation of two flat images, 1 for one that is the other shifted around.
+
+    0 for images of other sizes, or without any contrast.
+    """
+
+    def peak(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            if p is None or q is None or len(p) != len(q) or not len(p) or len(p) % width:
+                out.append(0.0)
+                continue
+            p, q = (np.asarray(v, float).reshape(-1, width) for v in (p, q))
+            cross = np.fft.fft2(p - p.mean()) * np.conj(np.fft.fft2(q - q.mean()))
+            size = np.abs(cross)
+            strong = size > 1e-12 * max(size.max(), 1e-300)
+            unit = np.where(strong, cross / np.where(strong, size, 1), 0)
+            out.append(float(np.fft.ifft2(unit).real.max() * unit.size / max(1, strong.sum())))
+        return pd.Series(out)
+
+    return F.pandas_udf(peak, "double")(a, b)
+
+
 def best_class(scores: Column) -> Column:
     """The class of the largest score and that score, as struct cls, conf; the first of equal ones."""
     top = F.array_max(scores)

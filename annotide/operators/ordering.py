@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annotide.functions import geometry
+
 #: Least and most buckets of the sort key, and rows that one bucket should hold at most.
 BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 64, 1024, 4_000_000
 
@@ -144,3 +146,28 @@ def beside_next(df: DataFrame, group: list[str], order: list[Column], columns: l
     """Each row with ``next_<column>`` of the one after it."""
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns})
+
+
+def changes_to_next(df: DataFrame, group: list[str], order: list[Column], image: str, width: int) -> DataFrame:
+    """Each row with measures against the image after it: shift (phase correlation), turn and mirror (similarities).
+
+    turn is the largest similarity to the next square image turned by one, two
+    or three quarters, mirror the one to it with left and right exchanged; null
+    for the last row of a group.
+    """
+    rows = beside_next(df, group, order, [image])
+    own, after = F.col(image), F.col(f"next_{image}")
+    rows = rows.withColumn("__mirrored", geometry.mirrored(after, width)).withColumn("__q1", geometry.quarter_turned(after, width))
+    for k in (2, 3):  # columns of their own, so that no turn is computed anew for each use
+        rows = rows.withColumn(f"__q{k}", geometry.quarter_turned(F.col(f"__q{k - 1}"), width))
+    like = {c: geometry.structural_similarity(own, F.col(c)) for c in ("__mirrored", "__q1", "__q2", "__q3")}
+    rows = rows.withColumns({f"{c}_like": v for c, v in like.items()})
+    there = after.isNotNull()
+    rows = rows.withColumns(
+        {
+            "shift": F.when(there, geometry.phase_response(own, after, width)),
+            "turn": F.when(there, F.greatest("__q1_like", "__q2_like", "__q3_like")),
+            "mirror": F.when(there, F.col("__mirrored_like")),
+        }
+    )
+    return rows.drop(f"next_{image}", *like, *[f"{c}_like" for c in like])

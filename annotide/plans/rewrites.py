@@ -675,3 +675,11 @@ def conversation_documents(spark, sf):
     parsed = documents.conversations(turns).select("id", F.from_json("json", "id string, image string, conversations array<struct<from: string, value: string>>").alias("d"))
     said = F.array_join(F.transform("d.conversations", lambda t: t["value"]), "|")
     return parsed.select(F.col("id").cast("long").alias("conv_id"), F.size("d.conversations").cast("long").alias("n"), "d.image", said.alias("said"))
+
+
+@query()
+def changes_to_next(spark, sf):
+    """Vectors as 8 x 8 images, each against the next one: shift, turn and mirror."""
+    images = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("part"), F.slice("embedding", 1, 64).alias("image"))
+    rows = ordering.changes_to_next(images, ["part"], [F.col("vec_id")], "image", 8)
+    return rows.select("vec_id", *[F.round(c, 6).alias(c) for c in ("shift", "turn", "mirror")])

@@ -193,6 +193,32 @@ def test_seeded_choices(spark):
     assert all(first[r["c_nationkey"], r["c_mktsegment"]] == r["c_custkey"] for r in picked)
 
 
+def test_changes_to_the_next_image(spark):
+    from pyspark.sql import functions as F
+
+    from annotide.operators import ordering
+
+    rng = np.random.default_rng(5)
+    a = rng.random((8, 8))
+    other = rng.random((8, 8))
+    images = [a, np.roll(a, (2, 3), (0, 1)), np.fliplr(np.roll(a, (2, 3), (0, 1))), np.rot90(np.fliplr(np.roll(a, (2, 3), (0, 1)))), other, np.zeros((8, 8))]
+    table = spark.createDataFrame([(k, 0, x.ravel().tolist()) for k, x in enumerate(images)], "n int, g int, image array<double>")
+    got = {r["n"]: r for r in ordering.changes_to_next(table, ["g"], [F.col("n")], "image", 8).collect()}
+
+    def ssim(x, y):
+        c1, c2 = 1e-4, 9e-4
+        cov = ((x - x.mean()) * (y - y.mean())).mean()
+        return (2 * x.mean() * y.mean() + c1) / (x.mean() ** 2 + y.mean() ** 2 + c1) * (2 * cov + c2) / (x.var() + y.var() + c2)
+
+    for k in range(5):
+        x, y = images[k], images[k + 1]
+        assert got[k]["mirror"] == pytest.approx(ssim(x, np.fliplr(y)), abs=1e-9)
+        assert got[k]["turn"] == pytest.approx(max(ssim(x, np.rot90(y, -q)) for q in (1, 2, 3)), abs=1e-9)
+    assert got[0]["shift"] == pytest.approx(1.0) and got[3]["shift"] < 0.7 and got[4]["shift"] == 0.0
+    assert got[1]["mirror"] == pytest.approx(1.0) and got[2]["turn"] == pytest.approx(1.0)
+    assert got[5]["shift"] is None and got[5]["turn"] is None and got[5]["mirror"] is None
+
+
 def test_merged_boxes_stay_inside_and_cover_all(spark):
     found = {(r["image"], r["obj"]): r for r in boxes(spark, "found")}
     rows = catalogue.QUERIES["box_merge"](spark, DATA).collect()
