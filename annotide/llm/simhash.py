@@ -31,6 +31,8 @@ from annotide.llm.common import TOKEN_BYTES, append_columns, checkpoint, compone
 SHORT_RUN = 64
 #: Runs up to this length are compared row by row; longer ones by wiping further bits.
 MIDDLE_RUN = 8192
+#: Words of a shingle, and differing bits up to which fingerprints link.
+PRINT_SHINGLE, PRINT_BITS = 3, 2
 
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint8).view(np.uint64).ravel()
 
@@ -297,8 +299,16 @@ def fingerprint_links(
 # ---------------------------------------------------------------- operators
 
 
+def rooted_prints(prints: DataFrame, distance: int) -> DataFrame:
+    """``prints`` with a column root, the same for all fingerprints (column print, distinct) that links of ``distance`` bits join."""
+    links = fingerprint_links(prints.select("print"), ["print"], 2, 32, 2, distance).select(F.col("a0").alias("a"), F.col("b0").alias("b"))
+    found = components(links)
+    rooted = prints.join(found, prints["print"] == found["node"], "left")
+    return rooted.select(*prints.columns, F.coalesce("component", "print").alias("root"))
+
+
 def simhash_groups(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2
+    documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = PRINT_SHINGLE, distance: int = PRINT_BITS
 ) -> DataFrame:
     """(key, fingerprint, component_id): one row for each row of ``documents``.
 
@@ -316,11 +326,7 @@ def simhash_groups(
     signed = documents.select(quoted(key).alias("__key"), quoted(text).alias("__text"))
     signed = checkpoint(append_columns(signed, "__text", [T.StructField("print", T.LongType())], kernel).select("__key", "print"))
     prints = signed.groupBy("print").agg(F.min("__key").alias("first"))
-    links = fingerprint_links(prints.select("print"), ["print"], 2, 32, 2, distance).select(F.col("a0").alias("a"), F.col("b0").alias("b"))
-    found = components(links)
-    rooted = prints.join(found, prints["print"] == found["node"], "left").select(
-        "print", "first", F.coalesce("component", "print").alias("root")
-    )
+    rooted = rooted_prints(prints, distance)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("print", "component_id")
     return signed.join(named, "print").select(
@@ -330,11 +336,14 @@ def simhash_groups(
 
 #: Near-duplicate groups by shared content: texts link if the sets of their
 #: five-word shingles have a Jaccard similarity of ALIKE or more.  Candidates
-#: share the smallest shingles by BAND_ROWS random orders in one of BANDS bands.
-#: The chance of that depends on the similarity s alone, wherever the texts
-#: differ: 1 - (1 - s^6)^24, 0.9993 at 0.8.  Every link is verified by the
-#: exact sets.  Bands are taken in two SWEEPS: most of a group that the first one
-#: finds is one label in the second, which compares different labels only.
+#: are the components of ``simhash_groups`` by its defaults, and texts that
+#: share the smallest shingles by BAND_ROWS random orders in one of BANDS bands:
+#: at a similarity of 0.8 fingerprints differ in more bits than segments can
+#: find.  The chance of a band depends on the similarity s alone, wherever the
+#: texts differ: 1 - (1 - s^6)^24, 0.9993 at 0.8.  Every link is verified by the
+#: exact sets.  Candidates are taken in two SWEEPS, the components in the first:
+#: most of a group that it finds is one label in the second, which compares
+#: different labels only.
 SHINGLE = 5
 ALIKE = (4, 5)
 BANDS, BAND_ROWS = 24, 6
@@ -418,9 +427,20 @@ def alike_links(rows: DataFrame) -> DataFrame:
     return in_runs(rows, schema, result).distinct()
 
 
-def places(nodes: DataFrame, labels: DataFrame | None, low: int, high: int) -> DataFrame:
-    """(place, node, label, size, weight): who is in the places of bands ``low`` to ``high`` that have several labels."""
-    rows = nodes.select("node", "size", F.explode(F.slice("bands", low + 1, high - low)).alias("place"))
+def print_places(signed: DataFrame) -> DataFrame:
+    """(node, size, place): a place for each component of the fingerprints in ``signed(node, size, print)``."""
+    roots = rooted_prints(signed.select("print").distinct(), PRINT_BITS)
+    own = signed.select("node", "size", "print").distinct().join(roots, "print")
+    return own.select("node", "size", F.xxhash64("root", F.lit("print")).alias("place")).distinct()
+
+
+def band_places(nodes: DataFrame, low: int, high: int) -> DataFrame:
+    """(node, size, place): a place for each key in bands ``low`` to ``high``."""
+    return nodes.select("node", "size", F.explode(F.slice("bands", low + 1, high - low)).alias("place"))
+
+
+def places(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(place, node, label, size, weight): who is in those places of ``rows(node, size, place)`` that have several labels."""
     if labels is None:
         rows = rows.withColumn("label", F.col("node"))
     else:
@@ -468,7 +488,8 @@ def content_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
     """(key, content, keep): for each row of ``documents`` a hash of its text, and whether it leads its group.
 
     Groups hold texts whose sets of five-word shingles have a similarity of
-    0.8 or more, directly or through others.  The row with the smallest key
+    0.8 or more, directly or through others; all pairs in a component of
+    fingerprints and all in a band are compared.  The row with the smallest key
     leads, rows without key come last; of rows equal in key and text all are
     marked.
     """
@@ -478,11 +499,13 @@ def content_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
         own, keys = band_keys(sets, BANDS, BAND_ROWS)
         offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS)
         bands = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))
-        return [pa.array(own.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), bands]
+        prints = fingerprints(texts, PRINT_SHINGLE)
+        return [pa.array(own.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), bands, pa.array(prints.view(np.int64))]
 
     rows = documents.select(quoted(key).alias("__key"), F.xxhash64(quoted(text)).alias("content"), quoted(text).alias("__text"))
-    added = [T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    signed = checkpoint(append_columns(rows, "__text", added, kernel).drop("__text"))
+    kinds = {"node": T.LongType(), "size": T.LongType(), "bands": T.ArrayType(T.LongType()), "print": T.LongType()}
+    added = [T.StructField(n, t) for n, t in kinds.items()]
+    signed = checkpoint(append_columns(rows, "__text", added, kernel, 1 << 20).drop("__text"))
     order = F.struct(F.col("__key").isNull().alias("missing"), F.col("__key").alias("key"), F.col("content").alias("content"))
     nodes = checkpoint(signed.groupBy("node").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
 
@@ -494,11 +517,11 @@ def content_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
         texts = here.groupBy("content").agg(F.first("__text").alias("text")).join(wanted, "content").select("node", "text")
         return checkpoint(alike_links(found.join(texts, "node").select("cell", "node", "label", "side", "text")))
 
-    first = checkpoint(places(nodes, None, *SWEEPS[0]))
+    first = checkpoint(places(print_places(signed).unionByName(band_places(nodes, *SWEEPS[0])), None))
     links = linked(cells(first))
     labels = checkpoint(joined_once(links))
     links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    second = checkpoint(places(nodes, labels, *SWEEPS[1]))
+    second = checkpoint(places(band_places(nodes, *SWEEPS[1]), labels))
     links = links.unionByName(linked(cells(second)))
     cut = first.where(heavy()).unionByName(second.where(heavy())).drop("label")
     if not cut.isEmpty():

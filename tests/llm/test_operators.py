@@ -892,6 +892,24 @@ def test_copies_that_differ_in_one_piece_are_dropped(spark, kind, size):
     assert sum(d % 2 for d in kept) <= 0.01 * sum(d % 2 for d, _ in rows)
 
 
+def test_groups_follow_fingerprints_too(spark):
+    rows = []
+    for k, seed in enumerate((1212, 1841, 2196)):  # seeds of pairs that are 0.8 alike and share no band
+        draw = random.Random(seed)
+        block, own, other = ([f"w{draw.randrange(10**6)}" for _ in range(n)] for n in (21, 60, 9))
+        pair = [" ".join(block * 12 + own), " ".join(block * 12 + own[:51] + other)]
+        assert jaccard(*pair) == 0.8
+        keys = simhash.band_keys(simhash.shingle_sets(pair, simhash.SHINGLE), simhash.BANDS, simhash.BAND_ROWS)[1]
+        assert not (keys[0] == keys[1]).any()
+        pair.append(" ".join(block * 200 + [f"n{draw.randrange(10**6)}" for _ in range(60)]))  # linked by its print, but not alike
+        a, b, c = simhash.fingerprints(pair)
+        assert 1 <= int(a ^ b).bit_count() <= 2 and int(a ^ c).bit_count() <= 2 and jaccard(pair[0], pair[2]) < 0.2
+        rows += [(10 * k + i, t) for i, t in enumerate(pair)]
+    rows += [(500 + k, t) for k, (_, t) in enumerate(rows)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.without_near_duplicates(table).collect()) == [0, 2, 10, 12, 20, 22]
+
+
 def test_groups_are_those_of_exact_similarities(spark, monkeypatch):
     draw = random.Random(8)
     rows = []
